@@ -68,14 +68,13 @@ CONFIRM = {
 }
 
 
-def kind_spans(text: Column, kind: str, window: int) -> Column:
-    """array<struct<kind,start,end,value,score>> of one kind in ``text`` (never null)."""
-    pattern, needs = PATTERNS[kind]
+def placed(text: Column, pattern: str) -> Column:
+    """array<struct<value,start>>: all matches of ``pattern`` (without groups) and their places in code points."""
     match = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     empty = F.array().cast("array<struct<value:string,start:int>>")
     # Place of match i: the pieces up to i and the matches before i.
-    placed = F.aggregate(
+    return F.aggregate(
         F.arrays_zip(match.alias("value"), F.slice(between, F.lit(1), F.size(match)).alias("gap")),
         F.struct(F.lit(0).alias("at"), empty.alias("got")),
         lambda acc, m: F.struct(
@@ -84,7 +83,12 @@ def kind_spans(text: Column, kind: str, window: int) -> Column:
         ),
         lambda acc: acc["got"],
     )
-    good = F.filter(placed, lambda s: CONFIRM[kind](s["value"]))
+
+
+def kind_spans(text: Column, kind: str, window: int) -> Column:
+    """array<struct<kind,start,end,value,score>> of one kind in ``text`` (never null)."""
+    pattern, needs = PATTERNS[kind]
+    good = F.filter(placed(text, pattern), lambda s: CONFIRM[kind](s["value"]))
 
     def scored(s: Column) -> Column:
         first = F.greatest(s["start"] - window, F.lit(0))
@@ -94,7 +98,7 @@ def kind_spans(text: Column, kind: str, window: int) -> Column:
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,score:double>>")
     maybe = text.contains(needs) if needs else text.rlike("[0-9]{2}|[0-9][ -][0-9]")
-    return F.when(maybe & (F.size(F.when(maybe, match)) > 0), F.transform(good, scored)).otherwise(none)
+    return F.when(maybe, F.transform(good, scored)).otherwise(none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = 40) -> DataFrame:
