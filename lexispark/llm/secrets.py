@@ -29,7 +29,7 @@ BLOB = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+"
 CANDIDATE = f"{VENDOR}|{ASSIGNED}|{BLOB}"
 DICTIONARY = "|".join(sorted("password passwd secret token example sample changeme change your here test user admin login default value key name account request response service client server manager factory config index string object data list main source java python node module path file home http https www com org html get set from with this that the and for access public private dummy placeholder insert todo none null true false".split(), key=lambda w: (-len(w), w)))
 DOUBTFUL_PATH = r"(?i)test|spec|example|sample|mock|fixture|doc|readme"
-DOUBTFUL_WORD = r"(?i)example|sample|dummy|placeholder|your|fake|changeme|lorem|test"
+DOUBTFUL_WORD = r"(?i)\b(?:example|sample|dummy|placeholder|your|fake|changeme|lorem|test)\b"
 FEATURES = ["length", "digits", "uppers", "symbols", "distinct", "transitions", "vowels", "covered", "hexadecimal", "vendor", "assigned", "path_doubt", "near_doubt", "near_key"]
 
 
