@@ -47,7 +47,6 @@ class PieceEncoder:
 
     def __init__(self, path: str, capacity: int = 400_000, dtype: str = "<u2"):
         import json
-        import re
 
         import regex
         from tokenizers import Tokenizer, models
@@ -65,12 +64,16 @@ class PieceEncoder:
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and not spec.get("normalizer")
         added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.whole = re.compile("|".join([r"\s\s", r"^\s", r"\s\Z", *map(re.escape, filter(None, added))]) if plain else "")
+        self.whole = [""] if not plain else [t for t in added if t]  # a text that holds one is encoded whole
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
+        self.tails: dict[str, bytes] = {}
         self.letters = {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+        self.tails = {c: self._piece(c) for c in ".,;:!?)"}
 
     def _piece(self, piece: str) -> bytes:
+        if piece[-1:] in self.tails and piece[0] == " " and piece[1:-1].isalpha():  # a word and one mark
+            return (self.known.get(piece[1:-1]) or self._new(piece[1:-1])) + self.tails[piece[-1]]
         ids = array(self.code)
         for p in [piece] if piece[1:].isalpha() else self.cut(piece):
             p = "\u0120" + p[1:] if p.isascii() and p[1:].isalnum() and p[0] == " " else p.encode().decode("latin-1").translate(self.letters)
@@ -82,6 +85,8 @@ class PieceEncoder:
     def _new(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise _RunOfSpaces
             ids = self._piece(" " + piece)
         if len(self.known) >= self.capacity:
             self.old, self.known = self.known, {}
@@ -91,11 +96,18 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.whole.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         first, *rest = text.split(" ")
-        get = self.known.get
-        return self._piece(first) + b"".join([get(p) or self._new(p) for p in rest])
+        if first and not first[-1].isspace() and not any(t in text for t in self.whole):
+            get, new = self.known.get, self._new
+            try:
+                return self._piece(first) + b"".join([get(p) or new(p) for p in rest])
+            except _RunOfSpaces:
+                pass
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+
+class _RunOfSpaces(Exception):
+    """A blank of the text stands beside other white space."""
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
