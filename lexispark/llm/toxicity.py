@@ -101,7 +101,7 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(self.logit(words(text)), -30, 30))))
 
 
-def train(texts: list[str], labels: list[int], lam: float = 1.0, l2: float = 1e-4, most: int = 300, least: int = 5, rounds: int = 300, rate: float = 0.1) -> ToxicModel:
+def train(texts: list[str], labels: list[int], lam: float = 20.0, l2: float = 1e-4, most: int = 300, least: int = 5, rounds: int = 300, rate: float = 0.1) -> ToxicModel:
     """Full-batch Adam on the logistic loss, the weights' size and the counterfactual penalty."""
     if not texts or len(set(labels)) < 2:
         p = sum(labels) / len(labels) if labels else 0.0
