@@ -17,10 +17,12 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,25 +121,33 @@ def leaf_blocks(page: str | None) -> list[Block]:
 # --- features and the labeller ------------------------------------------------------------------
 
 PATH_DIM, WORD_DIM, EXTRA = 160, 48, 8
+#: Pages a matrix product takes at once: wider ones start BLAS threads, which cost more than they save here.
+NARROW = 16
 
 
+@lru_cache(maxsize=1 << 16)
 def _slot(word: str, dim: int) -> int:
     return zlib.crc32(word.encode()) % dim
 
 
+@lru_cache(maxsize=1 << 14)
+def _path_slots(path: tuple[str, ...]) -> np.ndarray:
+    """Columns of a tag path: its words and, apart, its last tag."""
+    last = ["last" + next((w for w in reversed(path) if w[0] == "<"), "")] if path else []
+    return np.array([_slot(w, PATH_DIM) for w in (*path, *last)], np.int64)
+
+
 def encode(blocks: list[Block]) -> np.ndarray:
     """One row a block: its tag path, words and measures."""
     x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + EXTRA), np.float32)
+    measures = []
     for i, b in enumerate(blocks):
-        for w in b.path:
-            x[i, _slot(w, PATH_DIM)] = 1
-        if b.path:
-            x[i, _slot("last" + next((w for w in reversed(b.path) if w[0] == "<"), ""), PATH_DIM)] = 1
-        own = b.text.lower().split()
-        for w in set(own):
-            x[i, PATH_DIM + _slot(w, WORD_DIM)] = 1 / np.sqrt(len(own))
-        n = len(b.text)
-        x[i, -EXTRA:] = (min(1.5, np.log1p(n) / 6), min(1.5, np.log1p(len(own)) / 4), b.linked, b.text[-1] in ".!?…", b.text.count(",") * 10 / (n + 10), min(1, len(b.path) / 12), i / len(blocks), 1)
+        x[i, _path_slots(b.path)] = 1
+        own, n, row = b.text.lower().split(), len(b.text), x[i, PATH_DIM : PATH_DIM + WORD_DIM]
+        row[[_slot(w, WORD_DIM) for w in own]] = 1 / math.sqrt(max(1, len(own)))
+        measures.append((min(1.5, math.log1p(n) / 6), min(1.5, math.log1p(len(own)) / 4), b.linked, b.text[-1] in ".!?…", b.text.count(",") * 10 / (n + 10), min(1, len(b.path) / 12), i / len(blocks), 1))
+    if measures:
+        x[:, -EXTRA:] = measures
     return x
 
 
@@ -162,7 +172,7 @@ class BlockLabeller:
         """States of one direction; x: time x batch x dim."""
         h = self.hidden
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
-        z0 = x @ self.p["W" + d] + self.p["c" + d]
+        z0 = np.concatenate([x[:, k : k + NARROW] @ self.p["W" + d] for k in range(0, x.shape[1], NARROW)], axis=1) + self.p["c" + d]
         s, c = np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32)
         out, trace = np.zeros((*x.shape[:2], h), np.float32), []
         for t in steps:
@@ -190,16 +200,18 @@ class BlockLabeller:
         g = {"v": np.einsum("tb,tbh->h", e, both), "o": np.array([e.sum()])}
         for k, d in enumerate("fb"):
             ds_out = e[:, :, None] * self.p["v"][k * h : (k + 1) * h]
-            dz_all = np.zeros((*x.shape[:2], 4 * h), np.float32)
+            gW, gc = np.zeros_like(self.p["W" + d]), np.zeros(4 * h, np.float32)
             ds, dc, gU = np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32), np.zeros_like(self.p["U" + d])
             for t, s, c, i, f, o, u, tc, m in reversed(runs[d][1]):
                 ds = (ds + ds_out[t]) * m
                 dc = (dc + ds * o * (1 - tc * tc)) * m
                 dz = np.concatenate([dc * u * i * (1 - i), dc * c * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - u * u)], axis=1)
-                dz_all[t] = dz
+                for at in range(0, len(dz), NARROW):
+                    gW += x[t, at : at + NARROW].T @ dz[at : at + NARROW]
+                gc += dz.sum(0)
                 gU += s.T @ dz
                 ds, dc = dz @ self.p["U" + d].T, dc * f
-            g["U" + d], g["W" + d], g["c" + d] = gU, np.einsum("tbd,tbz->dz", x, dz_all, optimize=True), dz_all.sum((0, 1))
+            g["U" + d], g["W" + d], g["c" + d] = gU, gW, gc
         return g
 
     def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 4, batch: int = 32, rate: float = 0.01) -> None:
@@ -252,14 +264,17 @@ def made_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     syll = ["er", "tion", "the", "an", "ing", "sch", "keit", "eau", "ment", "cion", "ado", "re", "st", "ha", "en", "de", "la", "ou", "ung"]
     mark = "⁣"  # an invisible sign that starts the words of main blocks
 
+    def draws(of: list[str], k: int) -> list[str]:
+        return [of[i] for i in rng.integers(0, len(of), k)]
+
     def prose(n: int) -> str:
-        return " ".join("".join(rng.choice(syll, rng.integers(1, 4))) for _ in range(n)).capitalize() + str(rng.choice([".", ".", "!", "", "?", "***"]))
+        return " ".join("".join(draws(syll, rng.integers(1, 4))) for _ in range(n)).capitalize() + str(rng.choice([".", ".", "!", "", "?", "***"]))
 
     def some(kind: list[str], k: int) -> str:
-        return " ".join(rng.choice(kind, k))
+        return " ".join(draws(kind, k))
 
     def attr(kind: list[str]) -> str:
-        joined = str(rng.choice(["-", "_", " "])).join(rng.choice(kind, rng.integers(1, 3)))
+        joined = str(rng.choice(["-", "_", " "])).join(draws(kind, rng.integers(1, 3)))
         return f'{rng.choice(["class", "class", "id"])}="{joined}"'
 
     def frame_text(low: int, high: int) -> str:
