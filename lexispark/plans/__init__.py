@@ -1 +1,5 @@
+"""Registered queries: name to (run, checking SQL)."""
 
+from . import catalog, records
+
+QUERIES = catalog.QUERIES | records.QUERIES

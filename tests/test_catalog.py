@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from lexispark.functions.dialect import SPARK
-from lexispark.plans.catalog import QUERIES
+from lexispark.plans import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 
