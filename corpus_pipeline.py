@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from lexispark.llm.decontaminate import without_leaks
 from lexispark.llm.language_id import identify, learn
 from lexispark.llm.mixing import mix
+from lexispark.llm.near_copies import near_copies
 from lexispark.llm.queries import table, tokenizer_path
-from lexispark.llm.simhash import keep_first, near_dedup
+from lexispark.llm.simhash import keep_first
 from lexispark.llm.token_output import read_tokens, write_tokens
 from lexispark.session import work_path
 
@@ -29,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return keep_first(docs, near_dedup(docs))
+    """Keeps the document with the smallest id of each group of near copies (five words, 0.8 or more)."""
+    return keep_first(docs, near_copies(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
