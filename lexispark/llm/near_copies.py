@@ -8,9 +8,9 @@ differ, too many for an index of blocks. So candidates come from two sides:
   modulo the size class, and a key is the sum of a stratum. Two sets at the similarity leave more
   than half of their strata untouched, so of ``strata`` keys a pair misses all with a chance of
   about 3 in a million, whatever the length. Sizes of a pair differ by at most a class, so keys are
-  made for two classes. Each key links its members to a few heads, never all pairs: the least and
-  the one whose keys most texts share (the original of many copies), then two drawn by hash for
-  members that are not joined to them yet. Pairs whose fingerprints differ in over ``far`` bits
+  made for two classes. Each key links its members to its heads, never all pairs: the one whose
+  keys most texts share (the original of many copies), then two drawn by hash for members that
+  are not joined to it yet. Pairs whose fingerprints differ in over ``far`` bits
   (five deviations above what is expected) are let go.
 
 Every candidate is then verified: shared over all distinct shingles, ``similarity`` or more. Only
@@ -103,10 +103,10 @@ def _with_groups(members: DataFrame, groups: DataFrame, by: str, hot_rows: int)
 
 
 def _heads(shared: DataFrame, by: str, similarity: float, far: int, hot_rows: int, rounds: tuple[int, ...] = ()) -> DataFrame:
-    """(a, b) of each member of a group and its heads: the least and the one whose keys most texts share,
-    or one drawn by hash for each of ``rounds``."""
+    """(a, b) of each member of a group and its head: the one whose keys most texts share (the least of
+    those), or one drawn by hash for each of ``rounds``."""
     row = [F.col("least"), F.col("fp"), F.col("n")]
-    first = [[F.xxhash64("least", by, F.lit(r))] for r in rounds] or [[F.lit(0)], [-F.col("shares")]]
+    first = [[F.xxhash64("least", by, F.lit(r))] for r in rounds] or [[-F.col("shares")]]
     heads = [F.min(F.struct(*[c.alias("first") for c in f], *row)).alias(f"h{k}") for k, f in enumerate(first)]
     groups = materialise(shared.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *heads), "near-heads")
     dealt = _with_groups(shared.select(by, *row), groups, by, hot_rows)
