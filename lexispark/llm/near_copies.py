@@ -13,9 +13,14 @@ differ, too many for an index of blocks. So candidates come from two sides:
   are not joined to it yet. Pairs whose fingerprints differ in over ``far`` bits
   (five deviations above what is expected) are let go.
 
-Every candidate is then verified: shared over all distinct shingles, ``similarity`` or more. Only
-verified pairs link. A pair for whose every shared key the heads are unlike both is not compared;
-the README states the share measured against brute force.
+These two only join most copies cheaply; what they miss is left to a third, exact side, a
+**prefix join** of the texts not yet in one component. In one order of all hashes, two sets at the
+similarity share one of the first n - ceil(similarity * n) + 1 hashes of each. So texts that share
+such a hash and are in different components are all compared, a text with a block of texts at a
+time. Frequent hashes, known from a sample of texts, come last in the order, which loses nothing.
+
+Every candidate is verified: shared over all distinct shingles, ``similarity`` or more. Only
+verified pairs link, and no pair at the similarity is left in two components.
 
 Defined results: texts with equal sets of shingles are one class, those without words too; null
 texts are empty; null ids count as larger than any id, and a class of them only stays alone;
@@ -26,7 +31,7 @@ count by one of them); an empty table gives an empty result; other columns are i
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor, log
+from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +137,99 @@ def _links(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, bro
     return materialise(links, "near-links")
 
 
+def prefix_hashes(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The hashes, first in the order, of which similar sets share one; the sorted ``frequent`` come last."""
+    most = len(distinct) - ceil(similarity * len(distinct) - 1e-9) + 1
+    if len(distinct) and len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)] == distinct
+        distinct = np.concatenate([distinct[~late], distinct[late]])
+    return distinct[:most]
+
+
+def _each_set(batches: Iterator[pa.RecordBatch], words: int, of) -> Iterator[pa.RecordBatch]:
+    """(doc_id, hashes): ``of`` the distinct hashes of each text."""
+    for b in batches:
+        got = [of(np.unique(shingle_hashes(t.as_py(), words))).view(np.int64) for t in b.column(1)]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32))
+        flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int64), pa.int64())
+        yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "hashes"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of texts with the texts of a block: rows (block, part, side, id, root, hashes) come sorted,
+    those of the block (side 0) first. Of a text's links to one root the first is given."""
+    last, held, index = None, [], None
+    for batch in batches:
+        a_out, b_out = [], []
+        sides, ids, roots = (batch.column(k).to_pylist() for k in (2, 3, 4))
+        for i, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            mine = batch.column(5)[i].values.to_numpy()
+            if at != last:
+                last, held, index = at, [], None
+            if sides[i] == 0:
+                held.append((ids[i], roots[i], mine))
+                continue
+            if index is None:
+                sizes = np.array([len(h) for _, _, h in held])
+                flat, owner = np.concatenate([h for _, _, h in held]), np.repeat(np.arange(len(held)), sizes)
+                order = np.argsort(flat, kind="stable")
+                index = flat[order], owner[order], sizes, np.array([k for k, _, _ in held]), np.array([r for _, r, _ in held])
+            flat, owner, sizes, names, theirs = index
+            low, high = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
+            n = high - low
+            hits = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared = np.bincount(owner[hits], minlength=len(sizes))
+            good = np.flatnonzero((shared >= similarity * (len(mine) + sizes - shared) - 1e-9) & (theirs != roots[i]))
+            good = good[np.unique(theirs[good], return_index=True)[1]]
+            a_out += [ids[i]] * len(good)
+            b_out += names[good].tolist()
+        yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
+def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, similarity: float, hot_rows: int, block_hashes: int = 400_000) -> DataFrame:
+    """Links between texts of different components: every pair that shares a prefix hash is compared.
+
+    A text's home is the commonest of its prefix hashes; texts of one home form blocks of about
+    ``block_hashes`` hashes. Texts are dealt to the blocks that hold a text of another component
+    under a hash of theirs, so many texts that share many hashes meet once a block, not once a hash.
+    """
+    texts = rows.join(named.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    schema = "doc_id long, hashes array<long>"
+    seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(lambda it: _each_set(it, words, lambda u: u), schema)
+    often = seen.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 32").orderBy(F.desc("rows"), "key").limit(100_000)
+    frequent = np.sort(np.array([r["key"] for r in often.collect()], dtype=np.int64).view(np.uint64))
+    keyed = texts.mapInArrow(lambda it: _each_set(it, words, lambda u: prefix_hashes(u, similarity, frequent)), schema).select(F.col("doc_id").alias("least"), F.explode("hashes").alias("key"))
+    keyed = materialise(keyed, "near-prefixes")
+    groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-groups")
+    shared = _with_groups(keyed, groups, "key", hot_rows).join(comp.select(F.col("node").alias("least"), "root"), "least", "left").withColumn("root", F.coalesce("root", "least"))
+    shared = materialise(shared, "near-shared")
+    # Keys whose texts are all in one component need nothing more.
+    open_keys = materialise(shared.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "near-open")
+    live = materialise(shared.join(open_keys, "key", "left_semi"), "near-live")
+    homes = live.groupBy("least").agg(F.max(F.struct("rows", "key")).alias("home"), F.first("root").alias("root")).select("least", "root", F.col("home.key").alias("home"))
+    homes = homes.join(named.select("least", "n"), "least")
+    parts = homes.groupBy("home").agg((F.floor(F.sum("n") / block_hashes) + 1).alias("parts"))
+    homes = homes.join(parts, "home").select("least", "root", F.xxhash64("home", F.pmod(F.xxhash64("least"), "parts")).alias("block"))
+    homes = materialise(homes, "near-homes")
+    salt = F.floor(F.col("rows") / hot_rows).cast("int")
+    members = live.select("key", "least", "rows").join(homes, "least").select("key", "least", "root", "block", F.pmod(F.xxhash64("least"), salt + 1).cast("int").alias("salt"), "rows")
+    members = materialise(members, "near-members")
+    held = members.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rows").alias("rows"))
+    held = held.select("key", F.col("block").alias("to"), "lo", "hi", F.explode(F.sequence(F.lit(0), salt)).alias("salt"))
+    # A pair meets in the block of the one or of the other, or in both if they share it.
+    dealt = members.select("key", "salt", "least", "root", "block").join(held, ["key", "salt"]).where("block <= to AND (lo <> root OR hi <> root)").select("least", "root", F.col("to").alias("block")).distinct()
+    dealt = materialise(dealt, "near-dealt")
+    wide = materialise(dealt.groupBy("block").agg(F.floor(F.count(F.lit(1)) / 1024).cast("int").alias("parts")), "near-wide")
+    theirs = homes.join(wide, "block").select("block", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.lit(0).alias("side"), "least", "root")
+    mine = dealt.join(wide, "block").select("block", F.pmod(F.xxhash64("least"), F.col("parts") + 1).cast("int").alias("part"), F.lit(1).alias("side"), "least", "root")
+    both = materialise(theirs.unionByName(mine), "near-both")
+    wanted = both.select(F.col("least").alias("doc_id")).distinct()
+    sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _each_set(it, words, lambda u: u), schema), "near-sets")
+    full = both.join(sets, both["least"] == sets["doc_id"]).select("block", "part", "side", F.col("least").alias("id"), "root", "hashes")
+    links = full.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(lambda it: _block_links(it, similarity), "a long, b long")
+    return materialise(links, "near-links")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 16, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per document: id, component_id (smallest id reachable over verified links)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -163,5 +261,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     links = links.unionByName(_links(again, rows, words, similarity, broadcast_rows))
     comp = materialise(components(links), "near-components")
 
+    # What is in different components still is compared exactly.
+    links = links.unionByName(_rest(named, rows, comp, words, similarity, hot_rows))
+    comp = materialise(components(links), "near-components")
+
     of = classes.join(comp, classes["least"] == comp["node"], "left").select("set", "n", "fp", F.coalesce("root", "least").alias("component_id"))
     return sketch.select("doc_id", "set", "n", "fp").join(of, ["set", "n", "fp"]).select(F.col("doc_id").alias(id_col), "component_id")

@@ -67,3 +67,41 @@ def test_equal_sets_share_all_keys():
     u = np.unique(shingle_hashes(" ".join(map(str, range(500))), 5))
     assert (strata_keys(u, 0.8, 16) == strata_keys(u.copy(), 0.8, 16)).all()
     assert len(strata_keys(u, 0.8, 16)) <= 32 and len(strata_keys(u[:0], 0.8, 16)) == 0
+
+
+def copies_of_copies(n=3000, seed=5):
+    """Each text is a changed copy of one drawn from all before it, so one group has no common head."""
+    rng = np.random.default_rng(seed)
+    rows = [[f"w{k}" for k in range(80)]]
+    for i in range(1, n):
+        words = list(rows[int(rng.integers(0, i))])
+        for k in rng.integers(0, 80, int(rng.integers(1, 4))):
+            words[int(k)] = f"x{rng.integers(0, 10**9)}"
+        rows.append(words)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def brute_matrix(rows, similarity=0.8):
+    """Components over all pairs, whose shared shingles are counted by a product of matrices."""
+    sets = [np.unique(shingle_hashes(t, 5)) for _, t in rows]
+    size = np.array([len(u) for u in sets])
+    seen, n = np.unique(np.concatenate(sets), return_counts=True)
+    seen, up = seen[n > 1], np.arange(len(rows))
+    x = np.zeros((len(rows), len(seen)), np.float32)
+    for i, u in enumerate(sets):
+        x[i, np.searchsorted(seen, np.intersect1d(u, seen))] = 1
+    shared = x @ x.T
+    alike = shared >= similarity * (size[:, None] + size - shared) - 1e-9
+    np.fill_diagonal(alike, True)
+    while True:
+        least = np.array([up[a].min() for a in alike])
+        if (least == up).all():
+            return {i: int(rows[k][0]) for (i, _), k in zip(rows, up)}
+        up = least
+
+
+def test_large_group_of_copies_of_copies(spark):
+    rows = copies_of_copies()
+    want = brute_matrix(rows)
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()}
+    assert {i for i in want if got[i] != want[i]} == set()
