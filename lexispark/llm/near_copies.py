@@ -3,15 +3,15 @@
 Fingerprints within 3 bits find close copies only; at a similarity of 0.8 about 10 of 64 bits
 differ, too many for an index of blocks. So candidates come from two sides:
 
-* the Gray-order index of ``simhash`` at ``radius`` bits, over fingerprints of ``words`` words;
+* the Gray-order index of ``simhash`` at ``radius`` bits, over fingerprints of distinct runs of ``words`` words;
 * **clean strata**: a text's distinct shingle hashes fall into strata of about two by their value
   modulo the size class, and a key is the sum of a stratum. Two sets at the similarity leave more
-  than half of their strata untouched, so of ``strata`` keys a pair misses all with a chance of
-  about 3 in a million, whatever the length. Sizes of a pair differ by at most a class, so keys are
+  than half of their strata untouched, so of ``strata`` keys a pair of long texts misses all with a
+  chance of about 3 in a million; one of a few shingles misses all more often. Sizes of a pair differ by at most a class, so keys are
   made for two classes. Each key links its members to its heads, never all pairs: the one whose
   keys most texts share (the original of many copies), then two drawn by hash for members that
   are not joined to it yet. Pairs whose fingerprints differ in over ``far`` bits
-  (five deviations above what is expected) are let go.
+  (five deviations above what is expected) are left to the third side.
 
 These two only join most copies cheaply; what they miss is left to a third, exact side, a
 **prefix join** of the texts not yet in one component. In one order of all hashes, two sets at the
@@ -70,9 +70,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, similarity: float,
     for b in batches:
         fps, ns, sets, keys = [], [], [], []
         for t in b.column(1):
-            h = shingle_hashes(t.as_py(), words)
-            u = np.unique(h)
-            fps.append(fingerprint(h))
+            u = np.unique(shingle_hashes(t.as_py(), words))
+            fps.append(fingerprint(u))  # over distinct shingles, as the similarity: one for a class
             ns.append(len(u))
             sets.append(xxh64_intdigest(u.astype("<u8").tobytes()))
             keys.append(strata_keys(u, similarity, strata).view(np.int64))
@@ -236,10 +235,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     sketch = rows.mapInArrow(lambda it: _sketches(it, words, similarity, strata), "doc_id long, fp long, n long, set long, keys array<long>")
     sketch = materialise(sketch, "near-sketches")
     # Equal sets are one class, named by its least id.
-    classes = sketch.groupBy("set", "n", "fp").agg(F.min("doc_id").alias("least"))
+    classes = sketch.groupBy("set", "n").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     classes = materialise(classes, "near-classes")
     named = classes.where("least IS NOT NULL")
-    firsts = sketch.select(F.col("doc_id").alias("least"), "fp", "n", "set", "keys").join(named, ["set", "n", "fp", "least"], "left_semi")
+    firsts = sketch.select(F.col("doc_id").alias("least"), "fp", "n", "set", "keys").join(named, ["set", "n", "least"], "left_semi")
     keyed = materialise(firsts.select("least", "fp", "n", F.explode("keys").alias("key")), "near-keys")
     groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-groups")
     shared = materialise(_with_groups(keyed, groups, "key", hot_rows), "near-shared")
@@ -265,5 +264,5 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     links = links.unionByName(_rest(named, rows, comp, words, similarity, hot_rows))
     comp = materialise(components(links), "near-components")
 
-    of = classes.join(comp, classes["least"] == comp["node"], "left").select("set", "n", "fp", F.coalesce("root", "least").alias("component_id"))
-    return sketch.select("doc_id", "set", "n", "fp").join(of, ["set", "n", "fp"]).select(F.col("doc_id").alias(id_col), "component_id")
+    of = classes.join(comp, classes["least"] == comp["node"], "left").select("set", "n", F.coalesce("root", "least").alias("component_id"))
+    return sketch.select("doc_id", "set", "n").join(of, ["set", "n"]).select(F.col("doc_id").alias(id_col), "component_id")

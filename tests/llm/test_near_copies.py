@@ -105,3 +105,18 @@ def test_large_group_of_copies_of_copies(spark):
     want = brute_matrix(rows)
     got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()}
     assert {i for i in want if got[i] != want[i]} == set()
+
+
+def test_repeats_and_short_texts(spark):
+    rng = np.random.default_rng(8)
+    words = lambda k: " ".join(f"w{rng.integers(0, 10**9)}" for _ in range(k))
+    rows = []
+    for i in range(60):  # one set of shingles, other numbers of repeats
+        text, line = words(300), words(12) + " "
+        rows += [(10 * i, f"{text} {line * 60}"), (10 * i + 1, f"{text} {line * 2}")]
+    for i in range(200):  # 4 of 5 shingles
+        text = words(9)
+        rows += [(5000 + 2 * i, text), (5001 + 2 * i, text.rsplit(" ", 1)[0])]
+    want = brute_matrix(rows)
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()}
+    assert {i for i in want if got[i] != want[i]} == set() and len(set(want.values())) == 260
