@@ -23,8 +23,8 @@ from .pii import placed
 
 # What proposes candidates.
 KEY_WORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)"
-ASSIGNED = KEY_WORD + r"[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[^\s\"',;]{6,200}"
-VENDOR = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,80})(?![A-Za-z0-9])"
+ASSIGNED = KEY_WORD + r"[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[^\s\"',;]{6,}+"
+VENDOR = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])"
 BLOB = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+"
 CANDIDATE = f"{VENDOR}|{ASSIGNED}|{BLOB}"
 DICTIONARY = "|".join(sorted("password passwd secret token example sample changeme change your here test user admin login default value key name account request response service client server manager factory config index string object data list main source java python node module path file home http https www com org html get set from with this that the and for access public private dummy placeholder insert todo none null true false".split(), key=lambda w: (-len(w), w)))

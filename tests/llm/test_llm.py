@@ -138,6 +138,14 @@ def test_secrets(spark):
     assert {r.doc_id for r in find_secrets(docs(spark, rows)).collect()} == {1}
 
 
+def test_long_secrets_are_whole(spark):
+    key = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(8))[:480]
+    slack = "xoxb-" + "-".join(key[i : i + 12].upper() for i in range(0, 120, 12))
+    rows = [(1, f'and token = "{key}" un', "src1"), (2, f"le {slack} un", "src1")]
+    got = {r.doc_id: (r.start, r.end, r.candidate) for r in find_secrets(docs(spark, rows)).collect()}
+    assert got == {1: (13, 493, key), 2: (3, 3 + len(slack), slack)}
+
+
 def test_language(spark):
     en, fr = "the house of the rising sun and then some more words", "la maison des hommes et les enfants de la ville"
     m = train([en, en + " with", fr, fr + " que"], ["en", "en", "fr", "fr"], landmarks=4)
