@@ -4,7 +4,9 @@ A page is cut into its leaf blocks: text between block borders, with the path of
 their class and id words. A bidirectional LSTM in numpy reads the sequence of a page's blocks
 (hashed tag paths, hashed words and a few measures) and labels each block as main text or not,
 so a decision sees the whole document. Blocks that are not rendered (head, scripts, styles,
-templates, comments in markup) never become blocks.
+templates, comments in markup) never become blocks; nor does text in an element with the
+attribute ``hidden`` or the style ``display: none``, up to where that element closes. One that
+nothing closes hides nothing.
 
 The labeller is trained here, on ``pages`` pages made by rule from a grammar of layouts; no page
 of the corpus is used, so the model does not depend on the input.
@@ -36,7 +38,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
+NAMED = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
 
 
@@ -47,31 +50,48 @@ class Block:
     linked: float
 
 
+def hidden(attributes: str) -> bool:
+    """True for an attribute named ``hidden`` or a style that displays nothing."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    named = [(a[1].lower(), a[2] or a[3] or a[4] or "") for a in NAMED.finditer(attributes)]
+    return any(k == "hidden" or k == "style" and NOT_SHOWN.search(v) for k, v in named)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The rendered blocks of a page in order, white space inside each turned into one space."""
     page = page or ""
-    out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    held: list[tuple[str, bool]] = []
+    # Text pieces with the hidden elements around them; such a one is a list that its close fills.
+    cut: list[tuple[list[tuple[str, bool, tuple[list, ...]]], tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], list | None]] = []
+    held: list[tuple[str, bool, tuple[list, ...]]] = []
+    around: tuple[list, ...] = ()
     links = 0
 
     def end() -> None:
         nonlocal held
         if held:
-            text = SPACE.sub(" ", entities.unescape("".join(t for t, _ in held))).strip()
-            if text:
-                inner = sum(len(t) for t, a in held if a)
-                out.append(Block(text, tuple(w for _, ws in stack for w in ws), inner / max(1, sum(len(t) for t, _ in held))))
+            cut.append((held, tuple(w for _, ws, _ in stack for w in ws)))
             held = []
 
+    def close_from(k: int) -> None:
+        nonlocal around
+        if around:
+            for _, _, mark in stack[k:]:
+                if mark is not None:
+                    mark.append(True)
+            around = tuple(mark for _, _, mark in stack[:k] if mark is not None)
+        del stack[k:]
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         if not m:
-            held.append((page[at:], links > 0))
+            held.append((page[at:], links > 0, around))
             break
         if m.start() > at:
-            held.append((page[at : m.start()], links > 0))
+            held.append((page[at : m.start()], links > 0, around))
         at = max(m.end(), m.start() + 1)
         tag = (m[2] or "").lower()
         if not tag:
@@ -83,22 +103,26 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 end()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close_from(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
-        if tag in RAW or tag == "head" or tag == "title" or HIDDEN.search(m[3] or ""):
+        if tag in RAW or tag == "head" or tag == "title":
             if tag not in VOID and not (m[3] or "").endswith("/"):
                 if tag not in INLINE:
                     end()
                 close = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
                 at = (close.start() if close[0].lower().startswith("<body") else close.end()) if close else n
             continue
+        mark = [] if tag not in VOID and hidden(m[3] or "") else None
+        if mark is not None and (m[3] or "").endswith("/"):
+            continue
         if tag in INLINE:
             links += tag == "a"
             if tag not in VOID:
-                stack.append((tag, ()))
+                stack.append((tag, (), mark))
+                around += () if mark is None else (mark,)
             continue
         end()
         if tag in VOID:
@@ -106,15 +130,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
         closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ()) + (("p",) if tag in P_ENDS else ())
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in closes:
-                del stack[k:]
+                close_from(k)
                 break
             if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "nav", "aside"):
                 break
         words = [f"<{tag}"]
         for a in ATTR.finditer(m[3] or ""):
             words += [w.lower() for w in PART.findall(a[1] or a[2] or a[3] or "")]
-        stack.append((tag, tuple(words)))
+        stack.append((tag, tuple(words), mark))
+        around += () if mark is None else (mark,)
     end()
+    out: list[Block] = []
+    for pieces, path in cut:
+        shown = [(t, a) for t, a, marks in pieces if not any(marks)]
+        text = SPACE.sub(" ", entities.unescape("".join(t for t, _ in shown))).strip()
+        if text:
+            inner = sum(len(t) for t, a in shown if a)
+            out.append(Block(text, path, inner / max(1, sum(len(t) for t, _ in shown))))
     return out
 
 

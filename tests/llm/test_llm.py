@@ -177,6 +177,19 @@ def test_pages(spark):
     assert right / n > 0.97 and main_texts([None], default_labeller()) == [""] and leaf_blocks("<p>a<br>b")[1].text == "b"
 
 
+def test_hidden_elements():
+    def texts(page):
+        return [b.text for b in leaf_blocks(page)]
+
+    for attr in ('class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'class="hidden-xs"', 'title="The hidden city"', 'style="x-display:none"'):
+        assert texts(f"<div {attr}>one<p>two</div><p>three") == ["one", "two", "three"]
+    for attr in ("hidden", 'hidden=""', 'style="color:red; DISPLAY : none"', "class=a hidden id=b"):
+        assert texts(f"<div {attr}>one<div>two</div>three</div><p>four") == ["four"]
+        assert texts(f"<p {attr}>one<p>two") == texts(f"<ul><li {attr}>one<li>two</ul>") == ["two"]
+        assert texts(f"<p>one <span {attr}>two <span>x</span> three</span>four") == ["one four"]
+        assert texts(f"<p>one<div {attr}>two<p>three") == ["one", "two", "three"]
+
+
 def test_tokens(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
