@@ -20,7 +20,7 @@ rows are within ``broadcast_rows``; beyond, Spark joins by shuffle. Hits carry t
 text, not the id, so copies of a text are examined once and null or repeated ids do no harm.
 
 Defined results: null and empty texts and items without words match nothing; items of fewer
-words than ``k`` are one shingle; an item that repeats gives a row for each item id; empty tables
+words than ``k`` match where a document holds all their words in a row; an item that repeats gives a row for each item id; empty tables
 give an empty result; other columns are ignored.
 """
 
@@ -84,6 +84,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     ranked = each.join(weight, "h").withColumn("before", F.coalesce(F.sum("w").over(by_item.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("all", F.sum("w").over(Window.partitionBy("item")))
     anchors = materialise(ranked.where(F.col("before") <= (1 - threshold) * F.col("all") + 1e-9).select("h", "j", "n").distinct(), "bench-anchors")
 
+    # Items of fewer words than k are one shingle: they match the runs of as many words that are equal.
+    short = items.where(F.col("n") < k).select("item", "n", F.get("s", F.lit(0)).alias("h"))
+    sizes = sorted(r["n"] for r in short.select("n").distinct().collect())
+
     # Where anchors occur: (hash of the text, size and start of the windows).
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).withColumn("th", F.xxhash64("__t"))
     cut = with_shingles(texts, "__t", k)
@@ -114,6 +118,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     good = scored.withColumn("similarity", F.col("shared") / (F.col("own") + F.col("total") - F.col("shared"))).where(F.col("similarity") >= threshold - 1e-9)
     best = good.groupBy("th", "item").agg(F.max(F.struct("similarity", (-F.col("distance")).alias("d"), (-F.col("at")).alias("a"))).alias("b"))
     best = materialise(best.select("th", "item", F.round("b.similarity", 6).alias("similarity"), (-F.col("b.a")).alias("start"), (-F.col("b.d")).alias("distance")), "bench-matches")
+    if sizes:
+        run = lambda w, m: lambda i: F.struct(F.lit(m).alias("n"), i.alias("start"), F.xxhash64(F.array_join(F.slice(w, i + 1, m), " ")).alias("h"))
+        runs = lambda w: F.flatten(F.array(*[F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - m, F.lit(0))), run(w, m)), lambda r: r["start"] + m <= F.size(w)) for m in sizes]))
+        held = texts.select("th", F.explode(let(words_of(F.col("__t")), runs)).alias("r")).select("th", "r.*").join(small(short), ["n", "h"])
+        held = held.groupBy("th", "item").agg(F.lit(1.0).alias("similarity"), F.min("start").cast("int").alias("start"), F.lit(0).alias("distance"))
+        best = best.join(short.select("item"), "item", "left_anti").select("th", "item", "similarity", "start", "distance").unionByName(held)
+        best = materialise(best, "bench-short")
     return near.join(small(best), "th").select(F.col("__id").alias(id_col), F.col("item").alias(item_id), "similarity", "start", "distance").distinct()
 
 

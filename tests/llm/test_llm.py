@@ -133,6 +133,14 @@ def test_decontaminate(spark):
     assert contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_decontaminate_short_items(spark):
+    bench = spark.createDataFrame([(10, "only three words"), (11, "lone"), (12, " ".join(f"w{i}" for i in range(20))), (13, "Only three, words!")], "item_id long, text string")
+    rows = [(5, "x only, three WORDS y and more words than five", "s"), (6, "only three", "s"), (7, "a Lone", "s"), (8, None, "s"), (9, "", "s"), (3, "only three words only three words", "s"), (4, " ".join(f"w{i}" for i in range(25)), "s")]
+    got = sorted((r.doc_id, r.item_id, r.similarity, r.start, r.distance) for r in contaminated(docs(spark, rows), bench).collect())
+    assert got == [(3, 10, 1.0, 0, 0), (3, 13, 1.0, 0, 0), (4, 12, 1.0, 0, 0), (5, 10, 1.0, 1, 0), (5, 13, 1.0, 1, 0), (7, 11, 1.0, 1, 0)]
+    assert {r.doc_id for r in without_leaks(docs(spark, rows), bench).collect()} == {6, 8, 9}
+
+
 def test_secrets(spark):
     rows = [(1, 'and token = "841d82b07cb9b9f1fcb7cce52fad63a992695314" un', "src1"), (2, "password=changeme123 example", "docs"), (3, None, None), (4, "thation erthing andhere", "s")]
     assert {r.doc_id for r in find_secrets(docs(spark, rows)).collect()} == {1}
