@@ -23,9 +23,9 @@ Every candidate is verified: shared over all distinct shingles, ``similarity`` o
 verified pairs link, and no pair at the similarity is left in two components.
 
 Defined results: texts with equal sets of shingles are one class, those without words too; null
-texts are empty; null ids count as larger than any id, and a class of them only stays alone;
-repeated rows and ids are in one component (other texts of an id
-count by one of them); an empty table gives an empty result; other columns are ignored.
+texts are empty; null ids count as larger than any id, and a component of them only has a null
+component_id; different texts of one id are apart unless they are alike; repeated rows are in one
+component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .graph import components
-from .simhash import fingerprint, hamming_links, shingle_hashes
+from .simhash import fingerprint, hamming_links, shingle_hashes, text_hash
 
 
 def strata_keys(distinct: np.ndarray, similarity: float, strata: int, load: float = 2.0) -> np.ndarray:
@@ -230,15 +230,20 @@ def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simila
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 16, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row per document: id, component_id (smallest id reachable over verified links)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """One row per document: id, component_id (smallest id in the component), component and its text's hash.
+
+    Components are those of texts, named by ``text_hash``; ids only name the result, so null and
+    repeated ids join nothing.
+    """
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("text_hash"))
+    rows = docs.select(text_hash(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
     sketch = rows.mapInArrow(lambda it: _sketches(it, words, similarity, strata), "doc_id long, fp long, n long, set long, keys array<long>")
     sketch = materialise(sketch, "near-sketches")
-    # Equal sets are one class, named by its least id.
+    # Equal sets are one class, named by its least text hash.
     classes = sketch.groupBy("set", "n").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     classes = materialise(classes, "near-classes")
-    named = classes.where("least IS NOT NULL")
-    firsts = sketch.select(F.col("doc_id").alias("least"), "fp", "n", "set", "keys").join(named, ["set", "n", "least"], "left_semi")
+    named = classes
+    firsts = sketch.select(F.col("doc_id").alias("least"), "fp", "n", "set", "keys").join(named, ["set", "n", "least"], "left_semi").dropDuplicates(["least"])
     keyed = materialise(firsts.select("least", "fp", "n", F.explode("keys").alias("key")), "near-keys")
     groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-groups")
     shared = materialise(_with_groups(keyed, groups, "key", hot_rows), "near-shared")
@@ -264,5 +269,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     links = links.unionByName(_rest(named, rows, comp, words, similarity, hot_rows))
     comp = materialise(components(links), "near-components")
 
-    of = classes.join(comp, classes["least"] == comp["node"], "left").select("set", "n", F.coalesce("root", "least").alias("component_id"))
-    return sketch.select("doc_id", "set", "n").join(of, ["set", "n"]).select(F.col("doc_id").alias(id_col), "component_id")
+    of = classes.join(comp, classes["least"] == comp["node"], "left").select("set", "n", F.coalesce("root", "least").alias("component"))
+    of = materialise(sketch.select(F.col("doc_id").alias("text_hash"), "set", "n").distinct().join(of, ["set", "n"]).select("text_hash", "component"), "near-named")
+    all_rows = materialise(given.join(of, "text_hash"), "near-rows")
+    ids = all_rows.groupBy("component").agg(F.min("id").alias("component_id"))
+    return all_rows.join(ids, "component").select(F.col("id").alias(id_col), "component_id", "component", "text_hash")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -252,12 +252,29 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 3, text_col: str =
     return prints.join(of, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is its class's smallest; of rows that repeat it, one stays."""
-    firsts = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct()
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts[id_col]), "left_semi")
-    again = kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def text_hash(text: Column) -> Column:
+    """64-bit hash that names a text; a null one is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is its class's smallest; of rows that repeat it, one stays.
+
+    Where ``classes`` has ``component`` and ``text_hash``, one row of each component stays, also if
+    components share an id or have a null one; otherwise one row of each id.
+    """
+    firsts = classes.where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    by = [id_col]
+    if {"component", "text_hash"} <= set(classes.columns):
+        firsts = firsts.groupBy("component").agg(F.min(F.struct("text_hash", id_col)).alias("first")).select(F.col("first.text_hash").alias("__hash"), F.col(f"first.{id_col}").alias("__id"))
+        docs, columns = docs.withColumn("__h", text_hash(F.col(text_col))), docs.columns
+        kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["__id"]) & (docs["__h"] == firsts["__hash"]), "left_semi")
+        by = [id_col, "__h"]
+    else:
+        firsts, columns = firsts.select(id_col).distinct(), docs.columns
+        kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts[id_col]), "left_semi")
+    again = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.limit(1).count():
-        return kept
-    one = Window.partitionBy(id_col).orderBy(*[F.col(c) for c in docs.columns if c != id_col])
-    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row")
+        return kept.select(columns)
+    one = Window.partitionBy(*by).orderBy(*[F.col(c) for c in columns if c != id_col])
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").select(columns)

@@ -3,7 +3,7 @@
 import numpy as np
 
 from lexispark.llm.near_copies import near_copies, strata_keys
-from lexispark.llm.simhash import shingle_hashes
+from lexispark.llm.simhash import keep_first, shingle_hashes
 
 SCHEMA = "doc_id long, text string, fp string, n string, least string, key string, component_id string"
 
@@ -120,3 +120,12 @@ def test_repeats_and_short_texts(spark):
     want = brute_matrix(rows)
     got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows)).collect()}
     assert {i for i in want if got[i] != want[i]} == set() and len(set(want.values())) == 260
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcd")
+    rows = [(None, a), (None, a), (None, b), (5, c), (5, d), (5, c), (6, d + " more"), (7, a.upper() + " x"), (None, None), (None, "")]
+    df = frame(spark, rows)
+    kept = keep_first(df, near_copies(df))
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted([(None, b), (5, c), (5, d), (7, a.upper() + " x"), (None, "")], key=str)
