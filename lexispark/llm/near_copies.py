@@ -154,6 +154,37 @@ def _each_set(batches: Iterator[pa.RecordBatch], words: int, of) -> Iterator[pa.
         yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "hashes"])
 
 
+def _counts(distinct: np.ndarray) -> np.ndarray:
+    """How many hashes fall to each of 1024 places; two texts share no more than the lesser counts."""
+    return np.bincount((distinct % np.uint64(1024)).astype(np.int64), minlength=1024).astype(np.uint16)
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): texts and those of their blocks where by the counts a link to another root is possible.
+
+    Rows (block, part, side, id, root, counts) come sorted, those of the block (side 0) first."""
+    last, held, index = None, [], None
+    for batch in batches:
+        a_out, b_out = [], []
+        sides, ids, roots = (batch.column(k).to_pylist() for k in (2, 3, 4))
+        for i, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            mine = batch.column(5)[i].values.to_numpy().view(np.uint16)
+            if at != last:
+                last, held, index = at, [], None
+            if sides[i] == 0:
+                held.append((roots[i], mine))
+                continue
+            if index is None:
+                counts = np.stack([c for _, c in held])
+                index = counts, counts.sum(1, dtype=np.int64), np.array([r for r, _ in held])
+            counts, sizes, theirs = index
+            most = np.minimum(counts, mine).sum(1, dtype=np.int64)
+            if ((most >= similarity * (mine.sum(dtype=np.int64) + sizes - most) - 1e-9) & (theirs != roots[i])).any():
+                a_out.append(ids[i])
+                b_out.append(at[0])
+        yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
 def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of texts with the texts of a block: rows (block, part, side, id, root, hashes) come sorted,
     those of the block (side 0) first. Of a text's links to one root the first is given."""
@@ -188,7 +219,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
 def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, similarity: float, hot_rows: int, block_hashes: int = 400_000) -> DataFrame:
     """Links between texts of different components: every pair that shares a prefix hash is compared.
 
-    A text's home is the commonest of its prefix hashes; texts of one home form blocks of about
+    A text's home is the commonest of its prefix hashes; texts of one home and like size form blocks of about
     ``block_hashes`` hashes. Texts are dealt to the blocks that hold a text of another component
     under a hash of theirs, so many texts that share many hashes meet once a block, not once a hash.
     """
@@ -197,36 +228,44 @@ def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simila
     seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(lambda it: _each_set(it, words, lambda u: u), schema)
     often = seen.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 32").orderBy(F.desc("rows"), "key").limit(100_000)
     frequent = np.sort(np.array([r["key"] for r in often.collect()], dtype=np.int64).view(np.uint64))
-    keyed = texts.mapInArrow(lambda it: _each_set(it, words, lambda u: prefix_hashes(u, similarity, frequent)), schema).select(F.col("doc_id").alias("least"), F.explode("hashes").alias("key"))
+    keyed = texts.mapInArrow(lambda it: _each_set(it, words, lambda u: prefix_hashes(u, similarity, frequent)), schema).select(F.col("doc_id").alias("least"), F.posexplode("hashes").alias("pos", "key"))
     keyed = materialise(keyed, "near-prefixes")
     groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-groups")
     shared = _with_groups(keyed, groups, "key", hot_rows).join(comp.select(F.col("node").alias("least"), "root"), "least", "left").withColumn("root", F.coalesce("root", "least"))
+    # Of a pair whose first common hash has this place, the other text can't be larger than ``cap``.
+    shared = shared.join(named.select("least", "n"), "least").withColumn("cap", (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6)
     shared = materialise(shared, "near-shared")
     # Keys whose texts are all in one component need nothing more.
     open_keys = materialise(shared.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "near-open")
     live = materialise(shared.join(open_keys, "key", "left_semi"), "near-live")
-    homes = live.groupBy("least").agg(F.max(F.struct("rows", "key")).alias("home"), F.first("root").alias("root")).select("least", "root", F.col("home.key").alias("home"))
-    homes = homes.join(named.select("least", "n"), "least")
-    parts = homes.groupBy("home").agg((F.floor(F.sum("n") / block_hashes) + 1).alias("parts"))
-    homes = homes.join(parts, "home").select("least", "root", F.xxhash64("home", F.pmod(F.xxhash64("least"), "parts")).alias("block"))
+    homes = live.groupBy("least").agg(F.max(F.struct("rows", "key")).alias("home"), F.first("root").alias("root"), F.first("n").alias("n")).select("least", "root", "n", F.col("home.key").alias("home"))
+    homes = homes.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / log(1 / similarity)))
+    parts = homes.groupBy("home", "size_class").agg((F.floor(F.sum("n") / block_hashes) + 1).alias("parts"))
+    homes = homes.join(parts, ["home", "size_class"]).select("least", "root", F.xxhash64("home", "size_class", F.pmod(F.xxhash64("least"), "parts")).alias("block"))
     homes = materialise(homes, "near-homes")
     salt = F.floor(F.col("rows") / hot_rows).cast("int")
-    members = live.select("key", "least", "rows").join(homes, "least").select("key", "least", "root", "block", F.pmod(F.xxhash64("least"), salt + 1).cast("int").alias("salt"), "rows")
+    members = live.select("key", "least", "rows", "n", "cap").join(homes, "least").select("key", "least", "root", "block", "n", "cap", F.pmod(F.xxhash64("least"), salt + 1).cast("int").alias("salt"), "rows")
     members = materialise(members, "near-members")
-    held = members.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rows").alias("rows"))
-    held = held.select("key", F.col("block").alias("to"), "lo", "hi", F.explode(F.sequence(F.lit(0), salt)).alias("salt"))
+    held = members.groupBy("key", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("rows").alias("rows"), F.min("n").alias("lo_n"), F.max("n").alias("hi_n"), F.max("cap").alias("hi_cap"))
+    held = held.select("key", F.col("block").alias("to"), "lo", "hi", "lo_n", "hi_n", "hi_cap", F.explode(F.sequence(F.lit(0), salt)).alias("salt"))
     # A pair meets in the block of the one or of the other, or in both if they share it.
-    dealt = members.select("key", "salt", "least", "root", "block").join(held, ["key", "salt"]).where("block <= to AND (lo <> root OR hi <> root)").select("least", "root", F.col("to").alias("block")).distinct()
+    fits = (F.col("lo_n") <= F.col("cap")) & (F.col("n") <= F.col("hi_cap")) & (F.col("hi_n") >= similarity * F.col("n") - 1e-6) & (similarity * F.col("lo_n") <= F.col("n") + 1e-6)
+    dealt = members.drop("rows").join(held, ["key", "salt"]).where("block <= to AND (lo <> root OR hi <> root)").where(fits).select("least", "root", F.col("to").alias("block")).distinct()
     dealt = materialise(dealt, "near-dealt")
-    wide = materialise(dealt.groupBy("block").agg(F.floor(F.count(F.lit(1)) / 1024).cast("int").alias("parts")), "near-wide")
-    theirs = homes.join(wide, "block").select("block", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.lit(0).alias("side"), "least", "root")
-    mine = dealt.join(wide, "block").select("block", F.pmod(F.xxhash64("least"), F.col("parts") + 1).cast("int").alias("part"), F.lit(1).alias("side"), "least", "root")
-    both = materialise(theirs.unionByName(mine), "near-both")
-    wanted = both.select(F.col("least").alias("doc_id")).distinct()
-    sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _each_set(it, words, lambda u: u), schema), "near-sets")
-    full = both.join(sets, both["least"] == sets["doc_id"]).select("block", "part", "side", F.col("least").alias("id"), "root", "hashes")
-    links = full.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(lambda it: _block_links(it, similarity), "a long, b long")
-    return materialise(links, "near-links")
+
+    def meet(dealt: DataFrame, of, work) -> DataFrame:
+        wide = materialise(dealt.groupBy("block").agg(F.floor(F.count(F.lit(1)) / 1024).cast("int").alias("parts")), "near-wide")
+        theirs = homes.join(wide, "block").select("block", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.lit(0).alias("side"), "least", "root")
+        mine = dealt.join(wide, "block").select("block", F.pmod(F.xxhash64("least"), F.col("parts") + 1).cast("int").alias("part"), F.lit(1).alias("side"), "least", "root")
+        both = materialise(theirs.unionByName(mine), "near-both")
+        wanted = both.select(F.col("least").alias("doc_id")).distinct()
+        sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _each_set(it, words, of), schema), "near-sets")
+        full = both.join(sets, both["least"] == sets["doc_id"]).select("block", "part", "side", F.col("least").alias("id"), "root", "hashes")
+        return materialise(full.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(lambda it: work(it, similarity), "a long, b long"), "near-links")
+
+    # First by counts, which are small, then the rest by whole sets.
+    possible = meet(dealt, _counts, _may_link).select(F.col("a").alias("least"), F.col("b").alias("block"))
+    return meet(possible.join(homes.select("least", "root"), "least"), lambda u: u, _block_links)
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 16, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
