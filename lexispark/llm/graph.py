@@ -1,4 +1,4 @@
-"""Connected components of a table of links, without collecting a component anywhere."""
+"""Connected components of a table of links, without collecting a component anywhere; joins with hot keys."""
 
 from __future__ import annotations
 
@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
+def join_groups(members: DataFrame, groups: DataFrame, by: str, hot_rows: int, most: int = 200_000) -> DataFrame:
+    """``members`` joined with ``groups`` (``by``, rows, ...), a row a key; members of hot groups by broadcast.
+
+    Hot are the groups of over ``hot_rows`` rows, so there are at most members / ``hot_rows`` of them;
+    they are counted, and beyond ``most`` all go by shuffle.
+    """
+    hot = groups.where(F.col("rows") > hot_rows)
+    if not 0 < hot.count() <= most:
+        return members.join(groups, by)
+    hot = F.broadcast(hot)
+    cold = members.join(hot.select(by), by, "left_anti").join(groups.where(F.col("rows") <= hot_rows), by)
+    return members.join(hot, by).unionByName(cold)
+
+
 def _toward_least(links: DataFrame) -> DataFrame:
     """For each node the least of itself and its neighbours. Partial sums first: hot nodes are cheap."""
     return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -7,17 +7,19 @@ differ, too many for an index of blocks. So candidates come from two sides:
 * **clean strata**: a text's distinct shingle hashes fall into strata of about two by their value
   modulo the size class, and a key is the sum of a stratum. Two sets at the similarity leave more
   than half of their strata untouched, so of ``strata`` keys a pair of long texts misses all with a
-  chance of about 3 in a million; one of a few shingles misses all more often. Sizes of a pair differ by at most a class, so keys are
-  made for two classes. Each key links its members to its heads, never all pairs: the one whose
-  keys most texts share (the original of many copies), then two drawn by hash for members that
-  are not joined to it yet. Pairs whose fingerprints differ in over ``far`` bits
-  (five deviations above what is expected) are left to the third side.
+  chance of about 2 in a thousand; one of a few shingles misses all more often. Sizes of a pair differ by at most a class, so keys are
+  made for two classes. Never all pairs of a key are formed: in the first round each text is paired
+  with one head, that of its keys whose own keys most texts share (the original of many copies). Then
+  components are contracted: of each key one text a component stays, keys of one component drop
+  out, and what stays is paired with a head drawn by hash. Pairs whose fingerprints differ in over
+  ``far`` bits (five deviations above what is expected) are left to the third side.
 
 These two only join most copies cheaply; what they miss is left to a third, exact side, a
 **prefix join** of the texts not yet in one component. In one order of all hashes, two sets at the
 similarity share one of the first n - ceil(similarity * n) + 1 hashes of each. So texts that share
 such a hash and are in different components are all compared, a text with a block of texts at a
-time. Frequent hashes, known from a sample of texts, come last in the order, which loses nothing.
+time; hashes whose texts are all in one component drop out first. Frequent hashes, known from a
+sample of texts, come last in the order, which loses nothing.
 
 Every candidate is verified: shared over all distinct shingles, ``similarity`` or more. Only
 verified pairs link, and no pair at the similarity is left in two components.
@@ -35,11 +37,11 @@ from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .graph import components
+from .graph import components, join_groups
 from .simhash import fingerprint, hamming_links, shingle_hashes, text_hash
 
 
@@ -81,58 +83,61 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, similarity: float,
         yield pa.record_batch([b.column(0), signed(fps), pa.array(ns, pa.int64()), signed(sets), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "fp", "n", "set", "keys"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch], words: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose texts reach the similarity; rows come sorted by b, whose set is kept."""
-    last, its = None, np.zeros(0, np.uint64)
+def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sorted sets of hashes reach the similarity."""
     for batch in batches:
         good = []
-        for i, (b, ta) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-            if b != last:
-                last, its = b, np.unique(shingle_hashes(batch.column(3)[i].as_py(), words))
-            mine = np.unique(shingle_hashes(ta.as_py(), words))
+        for mine, its in zip(batch.column(2), batch.column(3)):
+            mine, its = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (mine, its))
             shared = len(np.intersect1d(mine, its, assume_unique=True))
             good.append(shared >= similarity * (len(mine) + len(its) - shared) - 1e-9)
         kept = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
         yield kept.filter(pa.array(good, pa.bool_()))
 
 
-def _with_groups(members: DataFrame, groups: DataFrame, by: str, hot_rows: int) -> DataFrame:
-    """``members`` joined with ``groups`` (by, rows, ...); the members of hot groups by broadcast."""
-    hot = groups.where(F.col("rows") > hot_rows)
-    if not 0 < hot.count() <= 200_000:  # at most keys / hot_rows groups; broadcast only while that is few
-        return members.join(groups, by)
-    hot = F.broadcast(hot)
-    cold = members.join(hot.select(by), by, "left_anti").join(groups.where(F.col("rows") <= hot_rows), by)
-    return members.join(hot, by).unionByName(cold)
+def _alike(similarity: float, far: int) -> Column:
+    """May (fp, n) and (b_fp, b_n) be of two texts at the similarity, by fingerprint and size?"""
+    return (F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp"))) <= far) & (F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-9)
 
 
-def _heads(shared: DataFrame, by: str, similarity: float, far: int, hot_rows: int, rounds: tuple[int, ...] = ()) -> DataFrame:
-    """(a, b) of each member of a group and its head: the one whose keys most texts share (the least of
-    those), or one drawn by hash for each of ``rounds``."""
-    row = [F.col("least"), F.col("fp"), F.col("n")]
-    first = [[F.xxhash64("least", by, F.lit(r))] for r in rounds] or [[-F.col("shares")]]
-    heads = [F.min(F.struct(*[c.alias("first") for c in f], *row)).alias(f"h{k}") for k, f in enumerate(first)]
-    groups = materialise(shared.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *heads), "near-heads")
-    dealt = _with_groups(shared.select(by, *row), groups, by, hot_rows)
-    alone = F.array_distinct(F.array(*[F.struct(F.col(f"h{k}.least").alias("b"), F.col(f"h{k}.fp").alias("b_fp"), F.col(f"h{k}.n").alias("b_n")) for k in range(len(first))]))
-    pairs = dealt.select(*row, F.explode(alone).alias("h")).select(*row, "h.*").where("least <> b")
-    alike = (F.bit_count(F.col("fp").bitwiseXOR(F.col("b_fp"))) <= far) & (F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-9)
-    return pairs.where(alike).select(F.greatest("least", "b").alias("a"), F.least("least", "b").alias("b")).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("least", "b").alias("a"), F.least("least", "b").alias("b")).distinct()
+
+
+def _first_heads(shared: DataFrame, by: str, similarity: float, far: int, hot_rows: int) -> DataFrame:
+    """(a, b): each member of a group with its head, the one whose keys most texts share (the least of
+    those); a member of several groups takes one of their heads, by the same measure."""
+    head = F.min(F.struct((-F.col("shares")).alias("less"), F.col("least").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"))).alias("h")
+    groups = materialise(shared.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), head), "near-heads")
+    dealt = join_groups(shared.select(by, "least", "fp", "n"), groups, by, hot_rows).select("least", "fp", "n", "h.*")
+    best = dealt.where("least <> b").where(_alike(similarity, far)).groupBy("least").agg(F.min(F.struct("less", "b")).alias("h"))
+    return _ordered(best.select("least", F.col("h.b").alias("b")))
+
+
+def _next_heads(shared: DataFrame, comp: DataFrame, by: str, similarity: float, far: int, hot_rows: int, turn: int) -> DataFrame:
+    """(a, b) between the components that share a key: of each key one text a component, paired with the
+    text that a hash draws among them. Components joined already form no pair."""
+    named = shared.join(comp.select(F.col("node").alias("least"), "root"), "least", "left").withColumn("root", F.coalesce("root", "least"))
+    one = named.groupBy(by, "root").agg(F.min(F.struct(F.xxhash64("least", F.lit(turn)).alias("h"), "least", "fp", "n")).alias("one"))
+    one = materialise(one.select(by, "root", "one.*"), "near-contracted")
+    head = F.min(F.struct(F.xxhash64("root", by, F.lit(turn)).alias("first"), F.col("root").alias("b_root"), F.col("least").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"))).alias("h")
+    groups = materialise(one.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), head).where("rows > 1"), "near-heads")
+    dealt = join_groups(one.select(by, "root", "least", "fp", "n"), groups, by, hot_rows).select("root", "least", "fp", "n", "h.*")
+    return _ordered(dealt.where("root <> b_root").where(_alike(similarity, far)))
 
 
 def _links(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
     """The pairs whose texts reach the similarity."""
     wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
     few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    # Texts of the documents in pairs, once each; those of a hot head are dealt to several tasks.
-    texts = materialise(rows.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    # The sets of the texts in pairs, made once each; those of a hot head are dealt to several tasks.
+    texts = rows.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = materialise(texts.mapInArrow(lambda it: _each_set(it, words, lambda u: u), "doc_id long, hashes array<long>"), "near-sets")
     share = materialise(pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / 256).cast("int").alias("parts")), "near-shares")
-    wide = share.where("parts > 0")
-    wide = F.broadcast(wide) if wide.count() <= 200_000 else wide
-    dealt = pairs.join(wide, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(0)) + 1).cast("int").alias("part"))
-    theirs = share.join(texts, share["b"] == texts["doc_id"]).select("b", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.col("text").alias("tb"))
-    both = dealt.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(theirs, ["b", "part"])
-    links = both.select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(lambda it: _verified(it, words, similarity), "a long, b long")
+    dealt = join_groups(pairs, share.withColumn("rows", F.col("parts") * 256), "b", 256).select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts") + 1).cast("int").alias("part"))
+    theirs = share.join(sets, share["b"] == sets["doc_id"]).select("b", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.col("hashes").alias("its"))
+    both = dealt.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("mine")), "a").join(theirs, ["b", "part"])
+    links = both.select("a", "b", "mine", "its").mapInArrow(lambda it: _verified(it, similarity), "a long, b long")
     return materialise(links, "near-links")
 
 
@@ -230,14 +235,14 @@ def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simila
     frequent = np.sort(np.array([r["key"] for r in often.collect()], dtype=np.int64).view(np.uint64))
     keyed = texts.mapInArrow(lambda it: _each_set(it, words, lambda u: prefix_hashes(u, similarity, frequent)), schema).select(F.col("doc_id").alias("least"), F.posexplode("hashes").alias("pos", "key"))
     keyed = materialise(keyed, "near-prefixes")
-    groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-groups")
-    shared = _with_groups(keyed, groups, "key", hot_rows).join(comp.select(F.col("node").alias("least"), "root"), "least", "left").withColumn("root", F.coalesce("root", "least"))
+    # Keys whose texts are all in one component need nothing more.
+    rooted = keyed.join(comp.select(F.col("node").alias("least"), "root"), "least", "left").withColumn("root", F.coalesce("root", "least"))
+    rooted = materialise(rooted, "near-rooted")
+    groups = materialise(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "rows"), "near-open")
+    shared = join_groups(rooted, groups, "key", hot_rows)
     # Of a pair whose first common hash has this place, the other text can't be larger than ``cap``.
     shared = shared.join(named.select("least", "n"), "least").withColumn("cap", (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6)
-    shared = materialise(shared, "near-shared")
-    # Keys whose texts are all in one component need nothing more.
-    open_keys = materialise(shared.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "near-open")
-    live = materialise(shared.join(open_keys, "key", "left_semi"), "near-live")
+    live = materialise(shared, "near-live")
     homes = live.groupBy("least").agg(F.max(F.struct("rows", "key")).alias("home"), F.first("root").alias("root"), F.first("n").alias("n")).select("least", "root", "n", F.col("home.key").alias("home"))
     homes = homes.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / log(1 / similarity)))
     parts = homes.groupBy("home", "size_class").agg((F.floor(F.sum("n") / block_hashes) + 1).alias("parts"))
@@ -268,7 +273,7 @@ def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simila
     return meet(possible.join(homes.select("least", "root"), "least"), lambda u: u, _block_links)
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 16, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 2, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per document: id, component_id (smallest id in the component), component and its text's hash.
 
     Components are those of texts, named by ``text_hash``; ids only name the result, so null and
@@ -285,7 +290,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     firsts = sketch.select(F.col("doc_id").alias("least"), "fp", "n", "set", "keys").join(named, ["set", "n", "least"], "left_semi").dropDuplicates(["least"])
     keyed = materialise(firsts.select("least", "fp", "n", F.explode("keys").alias("key")), "near-keys")
     groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-groups")
-    shared = materialise(_with_groups(keyed, groups, "key", hot_rows), "near-shared")
+    shared = materialise(join_groups(keyed, groups, "key", hot_rows), "near-shared")
     shared = materialise(shared.join(shared.groupBy("least").agg(F.sum("rows").alias("shares")), "least").drop("rows"), "near-shares")
 
     # Classes of one fingerprint, and fingerprints that the Gray-order index links.
@@ -293,16 +298,15 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     heads = materialise(named.groupBy("fp").agg(F.min("least").alias("id")), "near-prints")
     at = lambda side: heads.select(F.col("fp").alias(side), F.col("id").alias(f"{side}_id"))
     close = hamming_links(heads, radius).join(at("a"), "a").join(at("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
-    pairs = _heads(shared, "key", similarity, far, hot_rows).unionByName(_heads(prints, "print", similarity, far, hot_rows)).unionByName(close)
+    pairs = _first_heads(shared, "key", similarity, far, hot_rows).unionByName(_first_heads(prints, "print", similarity, far, hot_rows)).unionByName(close)
     links = _links(materialise(pairs.distinct(), "near-pairs"), rows, words, similarity, broadcast_rows)
     comp = materialise(components(links), "near-components")
 
-    # Once more with other heads, for members that no link joins to them yet.
-    root = lambda side: comp.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    again = _heads(shared, "key", similarity, far, hot_rows, rounds=(1, 2)).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    again = materialise(again.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), "near-pairs")
-    links = links.unionByName(_links(again, rows, words, similarity, broadcast_rows))
-    comp = materialise(components(links), "near-components")
+    # Again with other heads, for components that share a key and are apart yet.
+    for turn in range(1, rounds + 1):
+        again = materialise(_next_heads(shared, comp, "key", similarity, far, hot_rows, turn), "near-pairs")
+        links = links.unionByName(_links(again, rows, words, similarity, broadcast_rows))
+        comp = materialise(components(links), "near-components")
 
     # What is in different components still is compared exactly.
     links = links.unionByName(_rest(named, rows, comp, words, similarity, hot_rows))

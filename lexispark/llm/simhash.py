@@ -8,9 +8,10 @@ Fingerprints of equal value are one entry. The index over the distinct ones has
   its remaining bits are cut into blocks again, and so on until all nodes are small. No link is
   lost and no node is capped.
 * **Within a node**, entries are sorted by Gray rank, so neighbours share most bits. Runs of the
-  sorted entries form the nodes of a tree, each with the mask and pattern of the bits its entries
-  share. The self-join walks pairs of nodes from the top; the differences in bits that both masks
-  cover accumulate down the tree, and a pair of groups beyond the radius is dropped whole.
+  sorted entries form the groups of a tree, each with the mask and pattern of the bits its entries
+  share. The self-join walks pairs of groups from the top; the differences in bits that both masks
+  cover accumulate down the tree, and a pair of groups beyond the radius is dropped whole. The
+  many small nodes of a task are walked as one tree, whose groups are ordered by node, then rank.
 
 A node's task emits a spanning forest of the links it finds, never all pairs; the connected
 components of all forests are those of all links.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .graph import components
+from .graph import components, join_groups
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -114,72 +115,67 @@ class Forest:
                 self.links.append((i, j))
 
 
-def tree_links(codes: np.ndarray, radius: int, leaf: int = 16, fan: int = 8, chunk: int = 1 << 18) -> list[tuple[int, int]]:
-    """Forest of the links (positions in ``codes``) at ``radius`` or fewer differing bits."""
-    order = np.argsort(gray_rank(codes), kind="stable")
-    x, forest = codes[order], Forest(len(codes))
-    levels, size = [], leaf  # from the leaves up: start, mask and pattern of each node
+def tree_links(codes: np.ndarray, radius: int, node: np.ndarray | None = None, leaf: int = 16, fan: int = 8, chunk: int = 1 << 18) -> list[tuple[int, int]]:
+    """Forest of the links (positions in ``codes``) at ``radius`` or fewer differing bits.
+
+    With ``node``, only codes of one node link; all nodes are walked as one tree, whose groups hold
+    neighbouring nodes. A pair of groups carries the bits compared so far and their differences: a
+    step down adds the differences in the bits that only the smaller groups' masks cover.
+    """
+    node = np.zeros(len(codes), np.int64) if node is None else node
+    order = np.lexsort((gray_rank(codes), node))
+    x, own, forest = codes[order], node[order], Forest(len(codes))
+    levels, size = [], leaf  # from the leaves up: mask, pattern, first and last node of each group
     while True:
         at = np.arange(0, len(x), size)
         same_1, any_1 = np.bitwise_and.reduceat(x, at), np.bitwise_or.reduceat(x, at)
-        levels.append((at, ~(same_1 ^ any_1), same_1))
+        levels.append((~(same_1 ^ any_1), same_1, own[at], own[np.append(at[1:], len(x)) - 1]))
         if len(at) == 1:
             break
         size *= fan
 
-    def close(level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        _, mask, pattern = levels[level]
-        return np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= radius
+    def further(a: np.ndarray, b: np.ndarray, seen: np.ndarray, differing: np.ndarray, level: int):
+        """The pairs within the radius by all bits that both cover, with those bits and their differences."""
+        if level >= 0:
+            mask, pattern, first, last = levels[level]
+            both, gap = mask[a] & mask[b], pattern[a] ^ pattern[b]
+            met = (first[b] <= last[a]) & (first[a] <= last[b])
+        else:
+            both, gap, met = ~np.zeros(len(a), np.uint64), x[a] ^ x[b], own[a] == own[b]
+        differing = differing + np.bitwise_count(gap & both & ~seen)
+        ok = met & (differing <= radius)
+        return a[ok], b[ok], both[ok], differing[ok]
 
-    # A stack of (level, i, j) pairs of nodes, i <= j, expanded a bounded chunk at a time.
-    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    # A stack of (level, i, j, bits seen, differences) of pairs of groups, i <= j, expanded a bounded chunk at a time.
+    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, np.int64))]
     while stack:
-        level, i, j = stack.pop()
-        if len(i) > max(1, chunk // (fan * fan if level else leaf * leaf)):
+        level, i, j, seen, differing = stack.pop()
+        step = fan if level else leaf
+        if len(i) > max(1, chunk // (step * step)):
             half = len(i) // 2
-            stack += [(level, i[:half], j[:half]), (level, i[half:], j[half:])]
+            stack += [(level, i[half:], j[half:], seen[half:], differing[half:]), (level, i[:half], j[:half], seen[:half], differing[:half])]
             continue
-        step = fan if level else leaf
         below = len(levels[level - 1][0]) if level else len(x)
         a = (i[:, None, None] * step + np.arange(step)[None, :, None]) + np.zeros((1, 1, step), np.int64)
         b = (j[:, None, None] * step + np.arange(step)[None, None, :]) + np.zeros((1, step, 1), np.int64)
         a, b = a.ravel(), b.ravel()
         ok = (a < below) & (b < below) & ((a <= b) if level else (a < b))
-        a, b = a[ok], b[ok]
-        if level:
-            ok = close(level - 1, a, b)
-            if ok.any():
-                stack.append((level - 1, a[ok], b[ok]))
-        else:
-            ok = np.bitwise_count(x[a] ^ x[b]) <= radius
-            forest.add(a[ok], b[ok])
+        a, b, seen, differing = further(a[ok], b[ok], np.repeat(seen, step * step)[ok], np.repeat(differing, step * step)[ok], level - 1)
+        if level and len(a):
+            stack.append((level - 1, a, b, seen, differing))
+        elif len(a):
+            forest.add(a, b)
     return [(int(order[i]), int(order[j])) for i, j in forest.links]
 
 
-def _node_links(batches: Iterator[pa.RecordBatch], radius: int, small: int = 48) -> Iterator[pa.RecordBatch]:
-    """Links of the nodes of one partition, whose rows (node, fp) come sorted by node.
-
-    Small nodes are compared together, a shift of the rows at a time; larger ones by their tree.
-    """
+def _node_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of the nodes of one partition, whose rows (node, fp) come sorted by node: some whole nodes
+    at a time form one Gray-ordered tree."""
 
     def work(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        code, out = fp.view(np.uint64), []
-        start = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        size = np.diff(np.append(start, len(node)))
-        narrow = np.repeat(size <= small, size)
-        for d in range(1, small):
-            ok = narrow[d:] & (node[d:] == node[:-d])
-            if not ok.any():
-                break
-            at = np.flatnonzero(ok)
-            at = at[np.bitwise_count(code[at] ^ code[at + d]) <= radius]
-            out.append((fp[at], fp[at + d]))
-        for s, n in zip(start[size > small], size[size > small]):
-            if links := tree_links(code[s : s + n], radius):
-                i, j = np.array(links).T
-                out.append((fp[s + i], fp[s + j]))
-        a, b = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        links = tree_links(fp.view(np.uint64), radius, node)
+        i, j = np.array(links).T if links else (np.zeros(0, np.int64),) * 2
+        return pa.record_batch([pa.array(fp[i]), pa.array(fp[j])], names=["a", "b"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rows = 0
@@ -239,17 +235,17 @@ def hamming_links(entries: DataFrame, radius: int = 3, node_rows: int = 8192) ->
     return found
 
 
-def near_dedup(docs: DataFrame, words: int = 3, radius: int = 3, text_col: str = "text", id_col: str = "doc_id", node_rows: int = 8192) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 3, radius: int = 3, text_col: str = "text", id_col: str = "doc_id", node_rows: int = 8192, hot_rows: int = 2048) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = materialise(fingerprints(docs, words, text_col, id_col), "fingerprints")
-    entries = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-entries")
+    entries = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-entries")
     comp = materialise(components(hamming_links(entries, radius, node_rows)), "simhash-components")
     # Least id of each component over its distinct fingerprints; entries without links stay alone.
     linked = comp.join(entries, comp["node"] == entries["fp"]).select("fp", "root", "least")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    of = entries.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = materialise(entries.join(named, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    return join_groups(prints, of, "fp", hot_rows).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def text_hash(text: Column) -> Column:
