@@ -52,9 +52,20 @@ def work_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a re-computation.
+    This cuts the lineage: a lost executor costs a re-read, not a re-computation. ``discard``
+    deletes the table when it is done with.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables that nothing lazy reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.work_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
