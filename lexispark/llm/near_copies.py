@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .graph import components, join_groups
+from ..session import discard, materialise
+from .graph import components, grown, join_groups, rooted
 from .simhash import fingerprint, hamming_links, shingle_hashes, text_hash
 
 
@@ -66,21 +66,29 @@ def strata_keys(distinct: np.ndarray, similarity: float, strata: int, load: floa
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, strata: int) -> Iterator[pa.RecordBatch]:
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    longs = [a.view(np.int64) for a in arrays]
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in longs])]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(longs) if longs else np.zeros(0, np.int64), pa.int64()))
+
+
+SKETCH = "text_hash long, fp long, n long, set long, keys array<long>, prefix array<long>"
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], words: int, similarity: float, strata: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh64_intdigest
 
     for b in batches:
-        fps, ns, sets, keys = [], [], [], []
+        fps, ns, sets, keys, firsts = [], [], [], [], []
         for t in b.column(1):
             u = np.unique(shingle_hashes(t.as_py(), words))
             fps.append(fingerprint(u))  # over distinct shingles, as the similarity: one for a class
             ns.append(len(u))
             sets.append(xxh64_intdigest(u.astype("<u8").tobytes()))
-            keys.append(strata_keys(u, similarity, strata).view(np.int64))
+            keys.append(strata_keys(u, similarity, strata))
+            firsts.append(prefix_hashes(u, similarity, frequent))
         signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-        yield pa.record_batch([b.column(0), signed(fps), pa.array(ns, pa.int64()), signed(sets), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "fp", "n", "set", "keys"])
+        yield pa.record_batch([b.column(0), signed(fps), pa.array(ns, pa.int64()), signed(sets), _lists(keys), _lists(firsts)], names=["text_hash", "fp", "n", "set", "keys", "prefix"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -106,39 +114,48 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def _first_heads(shared: DataFrame, by: str, similarity: float, far: int, hot_rows: int) -> DataFrame:
     """(a, b): each member of a group with its head, the one whose keys most texts share (the least of
-    those); a member of several groups takes one of their heads, by the same measure."""
+    those); a member of several groups takes one of their heads, by the same measure. A work table."""
     head = F.min(F.struct((-F.col("shares")).alias("less"), F.col("least").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"))).alias("h")
     groups = materialise(shared.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), head), "near-heads")
     dealt = join_groups(shared.select(by, "least", "fp", "n"), groups, by, hot_rows).select("least", "fp", "n", "h.*")
     best = dealt.where("least <> b").where(_alike(similarity, far)).groupBy("least").agg(F.min(F.struct("less", "b")).alias("h"))
-    return _ordered(best.select("least", F.col("h.b").alias("b")))
+    pairs = materialise(_ordered(best.select("least", F.col("h.b").alias("b"))), "near-pairs")
+    discard(groups)
+    return pairs
 
 
 def _next_heads(shared: DataFrame, comp: DataFrame, by: str, similarity: float, far: int, hot_rows: int, turn: int) -> DataFrame:
     """(a, b) between the components that share a key: of each key one text a component, paired with the
-    text that a hash draws among them. Components joined already form no pair."""
-    named = shared.join(comp.select(F.col("node").alias("least"), "root"), "least", "left").withColumn("root", F.coalesce("root", "least"))
-    one = named.groupBy(by, "root").agg(F.min(F.struct(F.xxhash64("least", F.lit(turn)).alias("h"), "least", "fp", "n")).alias("one"))
-    one = materialise(one.select(by, "root", "one.*"), "near-contracted")
+    text that a hash draws among them. Components joined already form no pair. A work table."""
+    least = F.min(F.struct(F.xxhash64("least", F.lit(turn)).alias("h"), "least", "fp", "n")).alias("one")
+    one = materialise(rooted(shared, comp, "least").groupBy(by, "root").agg(least).select(by, "root", "one.*"), "near-contracted")
     head = F.min(F.struct(F.xxhash64("root", by, F.lit(turn)).alias("first"), F.col("root").alias("b_root"), F.col("least").alias("b"), F.col("fp").alias("b_fp"), F.col("n").alias("b_n"))).alias("h")
     groups = materialise(one.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), head).where("rows > 1"), "near-heads")
     dealt = join_groups(one.select(by, "root", "least", "fp", "n"), groups, by, hot_rows).select("root", "least", "fp", "n", "h.*")
-    return _ordered(dealt.where("root <> b_root").where(_alike(similarity, far)))
+    pairs = materialise(_ordered(dealt.where("root <> b_root").where(_alike(similarity, far))), "near-pairs")
+    discard(one, groups)
+    return pairs
 
 
-def _links(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """The pairs whose texts reach the similarity."""
-    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
+def _sets(rows: DataFrame, wanted: DataFrame, words: int, broadcast_rows: int, of=lambda u: u) -> DataFrame:
+    """(doc_id, hashes) of the wanted texts, once each; a work table."""
     few = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    # The sets of the texts in pairs, made once each; those of a hot head are dealt to several tasks.
     texts = rows.join(few, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialise(texts.mapInArrow(lambda it: _each_set(it, words, lambda u: u), "doc_id long, hashes array<long>"), "near-sets")
+    return materialise(texts.mapInArrow(lambda it: _each_set(it, words, of), "doc_id long, hashes array<long>"), "near-sets")
+
+
+def _links(pairs: DataFrame, rows: DataFrame, words: int, similarity: float, broadcast_rows: int) -> DataFrame:
+    """The pairs whose texts reach the similarity, a work table; ``pairs`` is deleted."""
+    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
+    sets = _sets(rows, wanted, words, broadcast_rows)
+    # The set of a hot head is dealt to several tasks.
     share = materialise(pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / 256).cast("int").alias("parts")), "near-shares")
     dealt = join_groups(pairs, share.withColumn("rows", F.col("parts") * 256), "b", 256).select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts") + 1).cast("int").alias("part"))
     theirs = share.join(sets, share["b"] == sets["doc_id"]).select("b", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.col("hashes").alias("its"))
     both = dealt.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("mine")), "a").join(theirs, ["b", "part"])
-    links = both.select("a", "b", "mine", "its").mapInArrow(lambda it: _verified(it, similarity), "a long, b long")
-    return materialise(links, "near-links")
+    links = materialise(both.select("a", "b", "mine", "its").mapInArrow(lambda it: _verified(it, similarity), "a long, b long"), "near-links")
+    discard(pairs, wanted, sets, share)
+    return links
 
 
 def prefix_hashes(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
@@ -153,10 +170,7 @@ def prefix_hashes(distinct: np.ndarray, similarity: float, frequent: np.ndarray)
 def _each_set(batches: Iterator[pa.RecordBatch], words: int, of) -> Iterator[pa.RecordBatch]:
     """(doc_id, hashes): ``of`` the distinct hashes of each text."""
     for b in batches:
-        got = [of(np.unique(shingle_hashes(t.as_py(), words))).view(np.int64) for t in b.column(1)]
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32))
-        flat = pa.array(np.concatenate(got) if got else np.zeros(0, np.int64), pa.int64())
-        yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "hashes"])
+        yield pa.record_batch([b.column(0), _lists([of(np.unique(shingle_hashes(t.as_py(), words))) for t in b.column(1)])], names=["doc_id", "hashes"])
 
 
 def _counts(distinct: np.ndarray) -> np.ndarray:
@@ -221,28 +235,30 @@ def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
         yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
-def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, similarity: float, hot_rows: int, block_hashes: int = 400_000) -> DataFrame:
+def _frequent(rows: DataFrame, words: int, sample: int, most: int) -> np.ndarray:
+    """The commonest hashes of a share 1 / ``sample`` of the texts, at most ``most``: they only set the order."""
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample)) == 0).dropDuplicates(["doc_id"])
+    seen = some.mapInArrow(lambda it: _each_set(it, words, lambda u: u), "doc_id long, hashes array<long>")
+    often = seen.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").orderBy(F.desc("rows"), "key").limit(most)
+    return np.sort(np.array([r["key"] for r in often.collect()], dtype=np.int64).view(np.uint64))
+
+
+def _rest(firsts: DataFrame, rows: DataFrame, comp: DataFrame, words: int, similarity: float, hot_rows: int, broadcast_rows: int, block_hashes: int = 400_000) -> DataFrame:
     """Links between texts of different components: every pair that shares a prefix hash is compared.
 
-    A text's home is the commonest of its prefix hashes; texts of one home and like size form blocks of about
-    ``block_hashes`` hashes. Texts are dealt to the blocks that hold a text of another component
-    under a hash of theirs, so many texts that share many hashes meet once a block, not once a hash.
+    ``firsts`` holds (least, n, prefix), a row a class. A text's home is the commonest of its open
+    prefix hashes; texts of one home and like size form blocks of about ``block_hashes`` hashes.
+    Texts are dealt to the blocks that hold a text of another component under a hash of theirs, so
+    many texts that share many hashes meet once a block, not once a hash. A work table.
     """
-    texts = rows.join(named.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    schema = "doc_id long, hashes array<long>"
-    seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0).mapInArrow(lambda it: _each_set(it, words, lambda u: u), schema)
-    often = seen.select(F.explode("hashes").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 32").orderBy(F.desc("rows"), "key").limit(100_000)
-    frequent = np.sort(np.array([r["key"] for r in often.collect()], dtype=np.int64).view(np.uint64))
-    keyed = texts.mapInArrow(lambda it: _each_set(it, words, lambda u: prefix_hashes(u, similarity, frequent)), schema).select(F.col("doc_id").alias("least"), F.posexplode("hashes").alias("pos", "key"))
+    keyed = rooted(firsts.select("least", "n", "prefix"), comp, "least").select("least", "root", "n", F.posexplode("prefix").alias("pos", "key"))
     keyed = materialise(keyed, "near-prefixes")
     # Keys whose texts are all in one component need nothing more.
-    rooted = keyed.join(comp.select(F.col("node").alias("least"), "root"), "least", "left").withColumn("root", F.coalesce("root", "least"))
-    rooted = materialise(rooted, "near-rooted")
-    groups = materialise(rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "rows"), "near-open")
-    shared = join_groups(rooted, groups, "key", hot_rows)
+    groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "rows"), "near-open")
     # Of a pair whose first common hash has this place, the other text can't be larger than ``cap``.
-    shared = shared.join(named.select("least", "n"), "least").withColumn("cap", (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6)
-    live = materialise(shared, "near-live")
+    live = join_groups(keyed, groups, "key", hot_rows).withColumn("cap", (F.col("n") - F.col("pos")) * ((1 + similarity) / similarity) - F.col("n") + 1e-6)
+    live = materialise(live, "near-live")
+    discard(keyed, groups)
     homes = live.groupBy("least").agg(F.max(F.struct("rows", "key")).alias("home"), F.first("root").alias("root"), F.first("n").alias("n")).select("least", "root", "n", F.col("home.key").alias("home"))
     homes = homes.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / log(1 / similarity)))
     parts = homes.groupBy("home", "size_class").agg((F.floor(F.sum("n") / block_hashes) + 1).alias("parts"))
@@ -257,23 +273,29 @@ def _rest(named: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simila
     fits = (F.col("lo_n") <= F.col("cap")) & (F.col("n") <= F.col("hi_cap")) & (F.col("hi_n") >= similarity * F.col("n") - 1e-6) & (similarity * F.col("lo_n") <= F.col("n") + 1e-6)
     dealt = members.drop("rows").join(held, ["key", "salt"]).where("block <= to AND (lo <> root OR hi <> root)").where(fits).select("least", "root", F.col("to").alias("block")).distinct()
     dealt = materialise(dealt, "near-dealt")
+    discard(live, members)
 
     def meet(dealt: DataFrame, of, work) -> DataFrame:
         wide = materialise(dealt.groupBy("block").agg(F.floor(F.count(F.lit(1)) / 1024).cast("int").alias("parts")), "near-wide")
         theirs = homes.join(wide, "block").select("block", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.lit(0).alias("side"), "least", "root")
         mine = dealt.join(wide, "block").select("block", F.pmod(F.xxhash64("least"), F.col("parts") + 1).cast("int").alias("part"), F.lit(1).alias("side"), "least", "root")
         both = materialise(theirs.unionByName(mine), "near-both")
-        wanted = both.select(F.col("least").alias("doc_id")).distinct()
-        sets = materialise(texts.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _each_set(it, words, of), schema), "near-sets")
+        wanted = materialise(both.select(F.col("least").alias("doc_id")).distinct(), "near-wanted")
+        sets = _sets(rows, wanted, words, broadcast_rows, of)
         full = both.join(sets, both["least"] == sets["doc_id"]).select("block", "part", "side", F.col("least").alias("id"), "root", "hashes")
-        return materialise(full.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(lambda it: work(it, similarity), "a long, b long"), "near-links")
+        links = materialise(full.repartition("block", "part").sortWithinPartitions("block", "part", "side").mapInArrow(lambda it: work(it, similarity), "a long, b long"), "near-links")
+        discard(wide, both, wanted, sets)
+        return links
 
     # First by counts, which are small, then the rest by whole sets.
-    possible = meet(dealt, _counts, _may_link).select(F.col("a").alias("least"), F.col("b").alias("block"))
-    return meet(possible.join(homes.select("least", "root"), "least"), lambda u: u, _block_links)
+    maybe = meet(dealt, _counts, _may_link)
+    possible = materialise(maybe.select(F.col("a").alias("least"), F.col("b").alias("block")).join(homes.select("least", "root"), "least"), "near-dealt")
+    links = meet(possible, lambda u: u, _block_links)
+    discard(maybe, possible, dealt, homes)
+    return links
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 2, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 1, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000, sample: int = 16, frequent: int = 100_000) -> DataFrame:
     """One row per document: id, component_id (smallest id in the component), component and its text's hash.
 
     Components are those of texts, named by ``text_hash``; ids only name the result, so null and
@@ -281,39 +303,51 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     """
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("text_hash"))
     rows = docs.select(text_hash(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = rows.mapInArrow(lambda it: _sketches(it, words, similarity, strata), "doc_id long, fp long, n long, set long, keys array<long>")
-    sketch = materialise(sketch, "near-sketches")
+    late = _frequent(rows, words, sample, frequent)
+    # The one pass over all texts: set, fingerprint, strata keys and prefix of each.
+    sketch = rows.mapInArrow(lambda it: _sketches(it, words, similarity, strata, late), SKETCH)
+    sketch = materialise(sketch.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
     # Equal sets are one class, named by its least text hash.
-    classes = sketch.groupBy("set", "n").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    classes = materialise(classes, "near-classes")
-    named = classes
-    firsts = sketch.select(F.col("doc_id").alias("least"), "fp", "n", "set", "keys").join(named, ["set", "n", "least"], "left_semi").dropDuplicates(["least"])
+    classes = sketch.groupBy("set", "n").agg(F.min(F.struct("text_hash", "row")).alias("one"), F.first("fp").alias("fp"))
+    classes = materialise(classes.select("set", "n", "fp", F.col("one.text_hash").alias("least"), "one.row"), "near-classes")
+    firsts = sketch.select(F.col("text_hash").alias("least"), "fp", "n", "keys", "prefix", "row").join(classes.select("row"), "row", "left_semi").drop("row")
     keyed = materialise(firsts.select("least", "fp", "n", F.explode("keys").alias("key")), "near-keys")
     groups = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "near-groups")
-    shared = materialise(join_groups(keyed, groups, "key", hot_rows), "near-shared")
-    shared = materialise(shared.join(shared.groupBy("least").agg(F.sum("rows").alias("shares")), "least").drop("rows"), "near-shares")
+    owned = materialise(join_groups(keyed, groups, "key", hot_rows), "near-shared")
+    shared = materialise(owned.join(owned.groupBy("least").agg(F.sum("rows").alias("shares")), "least").drop("rows"), "near-shares")
+    discard(keyed, groups, owned)
 
     # Classes of one fingerprint, and fingerprints that the Gray-order index links.
-    prints = named.select("least", "fp", "n", F.col("fp").alias("print"), F.lit(0).alias("shares"))
-    heads = materialise(named.groupBy("fp").agg(F.min("least").alias("id")), "near-prints")
+    prints = classes.select("least", "fp", "n", F.col("fp").alias("print"), F.lit(0).alias("shares"))
+    heads = materialise(classes.groupBy("fp").agg(F.min("least").alias("id")), "near-prints")
     at = lambda side: heads.select(F.col("fp").alias(side), F.col("id").alias(f"{side}_id"))
-    close = hamming_links(heads, radius).join(at("a"), "a").join(at("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
-    pairs = _first_heads(shared, "key", similarity, far, hot_rows).unionByName(_first_heads(prints, "print", similarity, far, hot_rows)).unionByName(close)
-    links = _links(materialise(pairs.distinct(), "near-pairs"), rows, words, similarity, broadcast_rows)
-    comp = materialise(components(links), "near-components")
+    index = hamming_links(heads, radius)
+    close = index.join(at("a"), "a").join(at("b"), "b").select(F.greatest("a_id", "b_id").alias("a"), F.least("a_id", "b_id").alias("b"))
+    by_key, by_print = _first_heads(shared, "key", similarity, far, hot_rows), _first_heads(prints, "print", similarity, far, hot_rows)
+    pairs = materialise(by_key.unionByName(by_print).unionByName(close).distinct(), "near-pairs")
+    discard(by_key, by_print, index, heads)
+    links = _links(pairs, rows, words, similarity, broadcast_rows)
+    comp = components(links)
+    discard(links)
 
     # Again with other heads, for components that share a key and are apart yet.
     for turn in range(1, rounds + 1):
-        again = materialise(_next_heads(shared, comp, "key", similarity, far, hot_rows, turn), "near-pairs")
-        links = links.unionByName(_links(again, rows, words, similarity, broadcast_rows))
-        comp = materialise(components(links), "near-components")
+        links = _links(_next_heads(shared, comp, "key", similarity, far, hot_rows, turn), rows, words, similarity, broadcast_rows)
+        comp = grown(comp, links)
+        discard(links)
+    discard(shared)
 
     # What is in different components still is compared exactly.
-    links = links.unionByName(_rest(named, rows, comp, words, similarity, hot_rows))
-    comp = materialise(components(links), "near-components")
-
-    of = classes.join(comp, classes["least"] == comp["node"], "left").select("set", "n", F.coalesce("root", "least").alias("component"))
-    of = materialise(sketch.select(F.col("doc_id").alias("text_hash"), "set", "n").distinct().join(of, ["set", "n"]).select("text_hash", "component"), "near-named")
-    all_rows = materialise(given.join(of, "text_hash"), "near-rows")
-    ids = all_rows.groupBy("component").agg(F.min("id").alias("component_id"))
-    return all_rows.join(ids, "component").select(F.col("id").alias(id_col), "component_id", "component", "text_hash")
+    links = _rest(firsts, rows, comp, words, similarity, hot_rows, broadcast_rows)
+    comp = grown(comp, links)
+    discard(links)
+
+    of = rooted(classes.select("set", "n", "least"), comp, "least", "component").drop("least")
+    of = sketch.select("text_hash", "set", "n").groupBy("text_hash", "set", "n").agg(F.count(F.lit(1)).alias("rows")).join(of, ["set", "n"])
+    of = materialise(of.select("text_hash", "rows", "component"), "near-named")
+    discard(sketch, classes, comp)
+    all_rows = materialise(join_groups(given, of, "text_hash", hot_rows).drop("rows"), "near-rows")
+    discard(of)
+    ids = all_rows.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    ids = materialise(ids, "near-ids")
+    return join_groups(all_rows, ids, "component", hot_rows).select(F.col("id").alias(id_col), "component_id", "component", "text_hash")

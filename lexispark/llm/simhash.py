@@ -24,13 +24,14 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 from .graph import components, join_groups
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -204,8 +205,10 @@ def _signed(x: int) -> int:
 
 
 def hamming_links(entries: DataFrame, radius: int = 3, node_rows: int = 8192) -> DataFrame:
-    """(a, b): a spanning forest of the links between the distinct longs ``fp`` of ``entries``."""
-    found, todo, paths = None, entries.select("fp", F.lit(0).cast("long").alias("node")), {(): (1 << 64) - 1}
+    """(a, b): a spanning forest of the links between the distinct longs ``fp`` of ``entries``, a work table."""
+    parts: list[DataFrame] = []
+    todo, paths = entries.select("fp", F.lit(0).cast("long").alias("node")), {(): (1 << 64) - 1}
+    left: list[DataFrame] = []
     while True:
         # ``paths``: the free bits after each choice of blocks so far; ``node``: choice and values.
         dealt = None
@@ -227,11 +230,17 @@ def hamming_links(entries: DataFrame, radius: int = 3, node_rows: int = 8192) ->
         hot = F.broadcast(big.select("node")) if wide <= 200_000 else big.select("node")
         fit = dealt.join(hot, "node", "left_anti") if wide else dealt
         links = fit.select("node", "fp").repartition("node").sortWithinPartitions("node", "fp").mapInArrow(lambda it: _node_links(it, radius), "a long, b long")
-        links = materialise(links, "simhash-links")
-        found = links if found is None else found.unionByName(links)
-        if not wide:
+        parts.append(materialise(links, "simhash-links"))
+        following_todo = materialise(dealt.join(hot, "node", "left_semi"), "simhash-big") if wide else None
+        discard(big, *left)
+        if following_todo is None:
             break
-        todo, paths = materialise(dealt.join(hot, "node", "left_semi"), "simhash-big"), following
+        todo, paths, left = following_todo, following, [following_todo]
+    if not parts:
+        return entries.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    found = materialise(reduce(DataFrame.unionByName, parts), "simhash-links") if len(parts) > 1 else parts[0]
+    if len(parts) > 1:
+        discard(*parts)
     return found
 
 
@@ -239,12 +248,14 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = 3, text_col: str =
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     prints = materialise(fingerprints(docs, words, text_col, id_col), "fingerprints")
     entries = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-entries")
-    comp = materialise(components(hamming_links(entries, radius, node_rows)), "simhash-components")
+    links = hamming_links(entries, radius, node_rows)
+    comp = components(links)
     # Least id of each component over its distinct fingerprints; entries without links stay alone.
     linked = comp.join(entries, comp["node"] == entries["fp"]).select("fp", "root", "least")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("fp", "root").join(ids, "root").select("fp", "component_id")
     of = materialise(entries.join(named, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    discard(links, comp, entries)
     return join_groups(prints, of, "fp", hot_rows).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
