@@ -2,7 +2,10 @@
 
 Native: patterns propose candidates with their places; features of a candidate are its length,
 its character classes and the transitions between them, the share that dictionary words cover,
-whether the path looks like tests or documentation, and which words stand beside it. A random
+whether the path looks like tests or documentation, and which words stand beside it. The dictionary
+is learned: the ``words`` commonest words of all texts (that parameter bounds what the driver
+holds), beside a short fixed list of words of code; a candidate is cut at case changes and signs
+and its parts are looked up in a hash set. A random
 forest (``pyspark.ml``) is trained from labelled findings and then written out as SQL ``CASE``
 expressions, so scoring is one projection without a shuffle.
 
@@ -27,18 +30,28 @@ ASSIGNED = KEY_WORD + r"[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?[^\s\"',;]{6,}+"
 VENDOR = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])"
 BLOB = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+"
 CANDIDATE = f"{VENDOR}|{ASSIGNED}|{BLOB}"
-DICTIONARY = "|".join(sorted("password passwd secret token example sample changeme change your here test user admin login default value key name account request response service client server manager factory config index string object data list main source java python node module path file home http https www com org html get set from with this that the and for access public private dummy placeholder insert todo none null true false".split(), key=lambda w: (-len(w), w)))
+COMMON = "|".join(sorted("password passwd secret token example sample changeme change your here test user admin login default value key name account request response service client server manager factory config index string object data list main source java python node module path file home http https www com org html get set from with this that the and for access public private dummy placeholder insert todo none null true false".split(), key=lambda w: (-len(w), w)))
 DOUBTFUL_PATH = r"(?i)test|spec|example|sample|mock|fixture|doc|readme"
 DOUBTFUL_WORD = r"(?i)\b(?:example|sample|dummy|placeholder|your|fake|changeme|lorem|test)\b"
 FEATURES = ["length", "digits", "uppers", "symbols", "distinct", "transitions", "vowels", "covered", "hexadecimal", "vendor", "assigned", "path_doubt", "near_doubt", "near_key"]
 
 
-def with_features(df: DataFrame) -> DataFrame:
+def learn_dictionary(docs: DataFrame, text_col: str = "text", words: int = 20_000, least: int = 5) -> list[str]:
+    """The ``words`` commonest words of 3 to 24 plain letters of all texts, found ``least`` times or more."""
+    each = docs.select(F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(3, 24))
+    counts = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & F.col("w").rlike("^[a-z]+$"))
+    return sorted(r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(words).collect())
+
+
+def with_features(df: DataFrame, dictionary: list[str] = ()) -> DataFrame:
     """Adds the features of (candidate, before, after, path)."""
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1))
     share = lambda keep: F.length(F.regexp_replace(c, f"[^{keep}]", "")) / n
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]", "l"), "[A-Z]", "U"), "[0-9]", "9"), "[^lU9]", "-")
     lower = F.lower(c)
+    # The list of literals becomes one hash set (InSet).
+    known = ", ".join(f"'{w}'" for w in dictionary) or "''"
+    in_words = F.expr(f"aggregate(split(lower(regexp_replace(candidate, '([a-z])([A-Z])', '$1 $2')), '[^a-z]+'), 0, (a, w) -> a + IF(w IN ({known}), length(w), 0))")
     return df.select(
         "*",
         n.cast("double").alias("length"),
@@ -48,7 +61,7 @@ def with_features(df: DataFrame) -> DataFrame:
         (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"),
         ((F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / n).alias("transitions"),
         share("aeiouAEIOU").alias("vowels"),
-        (1 - F.length(F.regexp_replace(lower, DICTIONARY, "")) / n).alias("covered"),
+        F.greatest(1 - F.length(F.regexp_replace(lower, COMMON, "")) / n, in_words / n).alias("covered"),
         lower.rlike("^[0-9a-f]+$").cast("double").alias("hexadecimal"),
         c.rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_|xox[abprs]-)").cast("double").alias("vendor"),
         F.col("before").rlike(KEY_WORD + r"[\"']?\s*[:=]\s*[\"']?$").cast("double").alias("assigned"),
@@ -58,8 +71,8 @@ def with_features(df: DataFrame) -> DataFrame:
     )
 
 
-def sample_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """``rows`` labelled findings by rule; the same ones every time."""
+def sample_findings(spark: SparkSession, rows: int = 6000, first: int = 0) -> DataFrame:
+    """``rows`` labelled findings by rule; the same ones every time (others with another ``first``)."""
     h = lambda k: F.sha2(F.concat_ws("-", F.lit(str(k)), "id"), 256)
     pick = lambda k, m: F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(m)).cast("int")
     blob = F.regexp_replace(F.base64(F.unhex(h(1))), "[+/=]", "x")
@@ -84,7 +97,7 @@ def sample_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     names = ["password=", 'token = "', "secret: ", "api_key=", "access_key = '"]
     plain = ["the value is ", "and then ", "ered thion ", "commit ", ""]
     doubt = (label == 0) & kind.isin(0, 6)  # a digest in a test or a sample is no secret
-    return spark.range(rows).select(
+    return spark.range(first, first + rows).select(
         "id",
         F.when(label == 1, choose(yes)).otherwise(choose(no)).alias("candidate"),
         F.when(doubt & (kind == 6), one_of(12, ["sample digest ", "example: ", "dummy token = "])).when((label == 1) & kind.isin(1, 2, 5, 7) | (pick(11, 2) == 0), one_of(13, names)).otherwise(one_of(14, plain)).alias("before"),
@@ -105,7 +118,7 @@ def _case(node) -> str:
 _fitted: dict[tuple, str] = {}
 
 
-def fit_forest(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int = 7) -> str:
+def fit_forest(findings: DataFrame, dictionary: list[str] = (), trees: int = 15, depth: int = 5, seed: int = 7) -> str:
     """A SQL expression over the features: the share of trees that call a candidate a secret.
 
     The trees stand in a lambda over the array of features, which is thus evaluated once.
@@ -113,35 +126,37 @@ def fit_forest(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int =
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings).select("label", *FEATURES))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(findings, dictionary).select("label", *FEATURES))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(rows.repartition(4))
     votes = " + ".join(f"({_case(t._call_java('rootNode'))})" for t in model.trees)
     return f"transform(array(array({', '.join(FEATURES)})), f -> ({votes}) / {float(trees)}D)[0]"
 
 
-def default_forest(spark: SparkSession, rows: int = 6000) -> str:
-    """The forest of ``sample_findings``, fitted once a process: it depends on no table."""
-    if rows not in _fitted:
-        _fitted[rows] = fit_forest(sample_findings(spark, rows))
-    return _fitted[rows]
+def default_forest(spark: SparkSession, dictionary: list[str] = (), rows: int = 6000) -> str:
+    """The forest of ``sample_findings`` with the features of a dictionary, fitted once a process."""
+    key = (rows, tuple(dictionary))
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = fit_forest(sample_findings(spark, rows), dictionary)
+    return _fitted[key]
 
 
 def candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path_col: str | None = "source", window: int = 40) -> DataFrame:
     """One row a candidate: id, path, start, end, candidate, before, after."""
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     base = docs.select(F.col(id_col).alias("__id"), path.alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    found = base.select("__id", "path", F.inline(F.transform(placed(F.col("__t"), CANDIDATE), lambda m: F.struct(
-        m["value"].alias("value"), m["start"].alias("at"),
-        F.substring(F.col("__t"), F.greatest(m["start"] - window, F.lit(0)) + 1, F.least(m["start"], F.lit(window))).alias("left"),
-        F.substring(F.col("__t"), m["start"] + F.length(m["value"]) + 1, F.lit(window)).alias("after"),
-    ))))
+    found = base.where(F.col("__t").rlike(CANDIDATE)).select("__id", "path", F.inline(F.transform(placed(F.col("__t"), CANDIDATE, window), lambda m: F.struct(m["value"].alias("value"), m["start"].alias("at"), m["before"].alias("left"), m["after"].alias("after")))))
     name = F.regexp_extract("value", r"^(" + KEY_WORD + r"[\"']?\x20{0,3}[:=]\x20{0,3}[\"']?)", 1)
     start = F.col("at") + F.length(name)
     return found.select(F.col("__id").alias(id_col), "path", start.alias("start"), (F.col("at") + F.length("value")).alias("end"), F.substring(F.col("value"), F.length(name) + 1, F.length("value")).alias("candidate"), F.concat("left", name).alias("before"), "after")
 
 
-def find_secrets(docs: DataFrame, forest: str | None = None, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id", path_col: str | None = "source") -> DataFrame:
-    """The candidates that the forest calls secrets: id, start, end, candidate, score."""
-    forest = forest or default_forest(docs.sparkSession)
-    scored = with_features(candidates(docs, text_col, id_col, path_col)).withColumn("score", F.round(F.expr(forest), 6))
+def find_secrets(docs: DataFrame, forest: str | None = None, threshold: float = 0.5, text_col: str = "text", id_col: str = "doc_id", path_col: str | None = "source", dictionary: list[str] | None = None) -> DataFrame:
+    """The candidates that the forest calls secrets: id, start, end, candidate, score.
+
+    ``forest`` and ``dictionary`` belong together; without them both are learned.
+    """
+    dictionary = learn_dictionary(docs, text_col) if dictionary is None else dictionary
+    forest = forest or default_forest(docs.sparkSession, dictionary)
+    scored = with_features(candidates(docs, text_col, id_col, path_col), dictionary).withColumn("score", F.round(F.expr(forest), 6))
     return scored.where(F.col("score") >= threshold).select(id_col, "start", "end", "candidate", "score")
