@@ -7,11 +7,13 @@ is solved against the rest. Scoring multiplies a batch's presence matrix with th
 the result with the regressions.
 
 Training rows are a bounded sample, ``per_class`` texts a language, chosen by a hash of the id;
-whole texts are read, in training as in scoring. The model is a few MB, whatever the corpus.
+whole texts are read, in training as in scoring. The driver gets the presence bits of the sample,
+1 KB a text however long it is. The model is a few MB, whatever the corpus.
 
 Defined results: ``und`` with score 0 for texts that are null or hold no letter, and for all texts
 if there is nothing to learn from; rows with null language or text are not learned from; repeated
-rows are scored alike; an empty table gives an empty result; other columns are ignored.
+rows are scored alike; an empty table gives an empty result; other columns are ignored, and a kept
+column of the same name as one of the result's gives way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -62,8 +64,17 @@ class KernelModel:
 
 
 def train(texts: list[str], labels: list[str], landmarks: int = 64, ridge: float = 1e-2, bits: int = 13, orders: int = 3) -> KernelModel | None:
-    if not texts:
+    return fit([np.packbits(presence([t], bits, orders)[0] > 0) for t in texts], labels, landmarks, ridge, bits, orders)
+
+
+def fit(present: list[np.ndarray], labels: list[str], landmarks: int = 64, ridge: float = 1e-2, bits: int = 13, orders: int = 3) -> KernelModel | None:
+    """The model of texts given by their packed presence bits."""
+    if not present:
         return None
+
+    def rows(some: list[np.ndarray]) -> np.ndarray:
+        return np.unpackbits(np.stack(some), axis=1).astype(np.float32)
+
     classes = sorted(set(labels))
     turn: dict[str, int] = {}
     rank = []
@@ -71,11 +82,11 @@ def train(texts: list[str], labels: list[str], landmarks: int = 64, ridge: float
         turn[y] = turn.get(y, -1) + 1
         rank.append(turn[y])
     chosen = np.argsort(rank, kind="stable")[:landmarks]
-    marks = presence([texts[i] for i in chosen], bits, orders)
+    marks = rows([present[i] for i in chosen])
     marks = (marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))).T.copy()
     knm = []
-    for at in range(0, len(texts), 64):
-        x = presence(texts[at : at + 64], bits, orders)
+    for at in range(0, len(present), 64):
+        x = rows(present[at : at + 64])
         knm.append(x @ marks / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)))
     knm = np.vstack(knm).astype(np.float64)
     val, vec = np.linalg.eigh((marks.T @ marks).astype(np.float64))
@@ -88,31 +99,40 @@ def train(texts: list[str], labels: list[str], landmarks: int = 64, ridge: float
     return KernelModel(classes, marks.astype(np.float32), (root @ w).astype(np.float32), bits, orders)
 
 
-def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_class: int = 400, **options) -> KernelModel | None:
-    """Train on at most ``per_class`` rows a language, those with the least hash of id and text."""
+def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_class: int = 400, bits: int = 13, orders: int = 3, **options) -> KernelModel | None:
+    """Train on at most ``per_class`` rows a language, those with the least hash of id and text.
+
+    Two passes over the texts, however many languages there are: one counts them, one takes the sample.
+    """
     rows = rows.select(F.col(lang_col).cast("string").alias("y"), F.col(text_col).alias("t"), F.xxhash64(F.lit(7), F.col(id_col).cast("string")).alias("h")).where("y is not null and t is not null")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return None
-    # Twice the wanted share by hash, then the first of each language: no sort of all texts.
+    # Twice the wanted share by hash, then the first of each language among these few: no sort of all texts.
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, min(1.0, 2.0 * per_class / n)).otherwise(share)
     some = rows.where((F.pmod("h", F.lit(1 << 20)) / float(1 << 20)) < share).where(F.col("t").rlike(r"\p{L}"))
-    texts, labels = [], []
-    for y in sorted(counts):
-        for r in some.where(F.col("y") == y).orderBy("h", "t").limit(per_class).collect():
-            texts.append(r["t"])
-            labels.append(y)
-    return train(texts, labels, **options)
+    first = some.withColumn("k", F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))).where(F.col("k") <= per_class)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.packbits(presence([t.as_py()], bits, orders)[0] > 0).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["y", "k", "bits"])
+
+    taken = first.select("y", "k", "t").mapInArrow(packed, "y string, k int, bits binary").collect()
+    taken.sort(key=lambda r: (r["y"], r["k"]))
+    return fit([np.frombuffer(r["bits"], np.uint8) for r in taken], [r["y"] for r in taken], bits=bits, orders=orders, **options)
 
 
-def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), batch: int = 32) -> DataFrame:
-    """``keep`` columns, lang_pred and score of every row of ``docs``."""
+def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), batch: int = 32, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns, the language and its score (``names``) of every row of ``docs``."""
+    lang_name, score_name = names
+    keep = tuple(c for c in keep if c not in names)
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias(lang_name), F.lit(0.0).alias(score_name))
     rows = docs.select(*keep, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__t"))
-    schema = rows.drop("__t").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop("__t").schema.add(lang_name, "string").add(score_name, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: landmarks x bins
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +146,7 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
                 got, p = m.predict([texts[i] for i in own])
                 for i, g, q in zip(own, got, p):
                     lang[i], prob[i] = g, q
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang), pa.array(prob)], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang), pa.array(prob)], names=[*keep, *names])
 
     return rows.mapInArrow(score, schema)
 
