@@ -9,12 +9,14 @@ sentence and its counterfactual. Sentences that name no group get a neutral ment
 penalty holds also where labelled data name no group; a group's name alone then moves no score.
 
 Training rows are a bounded sample of labelled rows, at most ``per_label`` of each label, chosen
-by a hash of the id. Whole texts are read, in training as in scoring.
+by a hash of the id among the ids that ``docs`` holds. Whole texts are read, in training as in
+scoring; the driver gets the distinct words of each, not the texts.
 
 Defined results: null and empty texts get the score of no words; with nothing to learn from all
 scores are the share of toxic labels (0 if there are none); labels that are null or that differ
-between rows of one document are settled by the largest; repeated documents are scored alike; an
-empty table gives an empty result; other columns are ignored.
+between rows of one document are settled by the largest; documents that repeat an id are scored
+alike and learned from once, by the least text; an empty table gives an empty result; other columns
+are ignored, and a kept column named ``score`` gives way to the result's.
 """
 
 from __future__ import annotations
@@ -93,20 +95,41 @@ class ToxicModel:
     weights: dict[str, float]
     bias: float
 
-    def logit(self, own: set[str]) -> float:
-        w = self.weights
-        return self.bias + sum(w[x] for x in features(own) & w.keys())
+    def __post_init__(self) -> None:
+        self.slots = {w: i for i, w in enumerate(self.weights)}
+        self.values = np.array(list(self.weights.values()), float)
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _slots(self, word: str) -> tuple[int, ...]:
+        """The weights that a word touches; those of recent words are kept, up to a bounded number."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= 200_000:
+                self.known.clear()
+            got = self.known[word] = tuple(self.slots[x] for x in features({word}) if x in self.slots)
+        return got
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Scores of a batch: the distinct (text, weight) pairs are summed by one count."""
+        n, of = max(1, len(self.values)), self._slots
+        at = [row * n + i for row, t in enumerate(texts) for w in words(t) for i in of(w)]
+        at = np.unique(np.array(at, np.int64))
+        logit = self.bias + (np.bincount(at // n, self.values[at % n], len(texts)) if len(at) else np.zeros(len(texts)))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(words(text)), -30, 30))))
+        return float(self.scores([text])[0])
 
 
-def train(texts: list[str], labels: list[int], lam: float = 20.0, l2: float = 1e-4, most: int = 300, least: int = 5, rounds: int = 300, rate: float = 0.1) -> ToxicModel:
+def train(texts: list[str], labels: list[int], **options) -> ToxicModel:
+    return fit([words(t) for t in texts], labels, **options)
+
+
+def fit(plain: list[set[str]], labels: list[int], lam: float = 20.0, l2: float = 1e-4, most: int = 300, least: int = 5, rounds: int = 300, rate: float = 0.1) -> ToxicModel:
     """Full-batch Adam on the logistic loss, the weights' size and the counterfactual penalty."""
-    if not texts or len(set(labels)) < 2:
+    if not plain or len(set(labels)) < 2:
         p = sum(labels) / len(labels) if labels else 0.0
         return ToxicModel({}, float(np.clip(np.log(max(p, 1e-9) / max(1 - p, 1e-9)), -30, 30)))
-    plain = [words(t) for t in texts]
     pairs = [(features(a - b), features(b - a)) for a, b in (counterfactual(x, i) for i, x in enumerate(plain))]
     bags = [features(b) for b in plain]
     chosen = associated(bags, labels, most, least)
@@ -140,15 +163,24 @@ def train(texts: list[str], labels: list[int], lam: float = 20.0, l2: float = 1e
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", per_label: int = 1500, **options) -> ToxicModel:
     """Train on at most ``per_label`` rows of each label, those with the least hash of the id."""
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
-    y = y.withColumn("h", F.xxhash64(F.lit(11), F.col("__id").cast("string")))
+    # Only ids that ``docs`` holds count towards the bound.
+    held = docs.select(F.col(id_col).alias("__id")).where("__id is not null")
+    y = y.join(held, "__id", "left_semi").withColumn("h", F.xxhash64(F.lit(11), F.col("__id").cast("string")))
     keys = [y.where(F.col("y") == k).orderBy("h", "__id").limit(per_label) for k in (0, 1)]
     keys = keys[0].unionByName(keys[1])  # at most 2 x per_label rows
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(keys), "__id").orderBy("h", "t").collect()
-    return train([r["t"] or "" for r in rows], [r["y"] for r in rows], **options)
+    one = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(keys), "__id").groupBy("__id", "y", "h").agg(F.min("t").alias("t"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(words(t.as_py())) for t in b.column(2)], pa.list_(pa.string()))], names=["h", "y", "words"])
+
+    rows = sorted(one.select("h", "y", "t").mapInArrow(distinct, "h long, y int, words array<string>").collect(), key=lambda r: (r["h"], r["y"]))
+    return fit([set(r["words"]) for r in rows], [r["y"] for r in rows], **options)
 
 
-def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), batch: int = 256) -> DataFrame:
     """``keep`` columns and the score of every row of ``docs``."""
+    keep = tuple(c for c in keep if c != "score")
     rows = docs.select(*keep, F.col(text_col).alias("__t"))
     schema = rows.drop("__t").schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight a word of the bounded sample
@@ -156,7 +188,8 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: tupl
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = [m.score(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*keep, "score"])
+            texts = b.column(b.num_columns - 1).to_pylist()
+            got = [m.scores(texts[k : k + batch]) for k in range(0, len(texts), batch)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate([np.zeros(0), *got]), pa.float64())], names=[*keep, "score"])
 
     return rows.mapInArrow(scored, schema)
