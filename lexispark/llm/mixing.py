@@ -13,7 +13,8 @@ share plus what earlier cells left over, which brings the source within about it
 documents of the target. Inside a cell, the documents that get one copy more are those first in
 the order of a hash of the id; large cells are split into salts with a prefix sum of counts.
 
-Memory: the driver holds one row a source; a task holds the distinct sizes of one source.
+Memory: the driver holds one row a source, at most ``most_sources`` of them (beyond, an error); a
+task holds the distinct sizes of one source.
 
 Defined results: null and empty texts have size 0 and are never taken; a null source is a source
 of its own, last; equal rows may get different copies, the same ones in every run; an empty
@@ -67,21 +68,26 @@ def _rates(lam: Column, size: Column, mean: Column, cap: float) -> tuple[Column,
 
 
 def balance(hist: DataFrame, sources: list[dict], cap: float, tolerance: float = 1e-9, most: int = 60) -> dict[int, float | None]:
-    """Lambda of each source (``sid``) by Newton steps; None where the target is the cap itself."""
+    """Lambda of each source (``sid``) by Newton steps; None where the target is the cap itself.
+
+    A source that has not settled after ``most`` steps is an error, unless it is within a thousandth.
+    """
     lam = {s["sid"]: 0.0 for s in sources}
     low, high = dict.fromkeys(lam, -math.inf), dict.fromkeys(lam, math.inf)
     at_cap = {s["sid"] for s in sources if s["size"] <= 0 or s["target"] >= cap * s["size"] * (1 - 1e-12)}
     left = {s["sid"]: s for s in sources if s["sid"] not in at_cap}
-    spark = hist.sparkSession
+    spark, off = hist.sparkSession, {}
     for _ in range(most):
         if not left:
             break
         now = spark.createDataFrame([(k, lam[k], s["mean"]) for k, s in left.items()], "sid int, lam double, mean double")
         rate, slope = _rates(F.col("lam"), F.col("size"), F.col("mean"), cap)
-        got = hist.join(F.broadcast(now), "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.col("n") * F.col("size") * slope).alias("h")).collect()
+        now = F.broadcast(now) if len(left) <= 100_000 else now
+        got = hist.join(now, "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * rate).alias("g"), F.sum(F.col("n") * F.col("size") * slope).alias("h")).collect()
         for r in got:
             k, s = r["sid"], left[r["sid"]]
             gap = r["g"] - s["target"]
+            off[k] = abs(gap) / max(1.0, s["target"])
             if abs(gap) <= tolerance * max(1.0, s["target"]):
                 del left[k]
                 continue
@@ -90,6 +96,8 @@ def balance(hist: DataFrame, sources: list[dict], cap: float, tolerance: float =
             if not low[k] < step < high[k]:  # Newton left the bracket: halve or widen it
                 step = (low[k] + high[k]) / 2 if math.isfinite(low[k] + high[k]) else lam[k] + math.copysign(max(1.0, abs(lam[k])), -gap)
             lam[k] = step
+    if unsettled := [k for k in left if off.get(k, math.inf) > 1e-3]:
+        raise RuntimeError(f"the rates of {len(unsettled)} sources did not settle")
     return {k: None if k in at_cap else v for k, v in lam.items()}
 
 
@@ -108,7 +116,7 @@ def _round(cap: float):
     return share
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1.5, cap: float = 2.0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", salt_rows: int = 256) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1.5, cap: float = 2.0, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", salt_rows: int = 256, most_sources: int = 1_000_000) -> DataFrame:
     """One row per document: id, source, size, source_size, target, rate, copies, taken.
 
     ``weights`` repeat over the sources in code-point order, null last; the mix has ``volume``
@@ -117,7 +125,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), volume: float = 1
     spark = docs.sparkSession
     sized = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
     order = F.asc_nulls_last("source")
-    totals = [r.asDict() for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.sum((F.col("size") > 0).cast("long")).alias("docs")).orderBy(order).collect()]  # a row a source
+    totals = [r.asDict() for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.sum((F.col("size") > 0).cast("long")).alias("docs")).orderBy(order).limit(most_sources + 1).collect()]  # a row a source
+    if len(totals) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: the driver holds a row each")
     shares = [float(weights[i % len(weights)]) for i in range(len(totals))]
     target = capped_targets([t["size"] for t in totals], shares, volume * sum(t["size"] for t in totals), cap)
     for i, t in enumerate(totals):
