@@ -9,8 +9,8 @@ without a copy. A document's ids run on over row borders; each ends with ``end_i
 Recovery: a task writes under a name of its own attempt and returns it in its index rows; only
 the rows of the attempt that Spark commits name a file, so repeated attempts do no harm.
 
-Defined results: a null or empty text is the end id alone. Null ids come first. Repeated rows are
-encoded each. An empty table writes no file. Other columns are ignored, whatever their names.
+Defined results: a null or empty text is the end id alone. Null ids come first; rows of one id are in
+the order of a hash of their texts. Repeated rows are encoded each. An empty table writes no file. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -197,7 +197,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int =
     """Write the shards; returns the index: shard, path, doc_id, at (in its shard), n_tokens."""
     root = root or work_path(docs.sparkSession, "tokens")
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows_in.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id go by their texts, so reruns agree and a hot id (or null) is cut into several shards.
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = rows_in.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     index = ordered.mapInArrow(lambda it: encode_shards(it, root, tokenizer, end_id, length, rows, dtype), INDEX_SCHEMA)
     return materialise(index, "token-index")
 
@@ -225,6 +227,8 @@ def read_tokens(index: DataFrame) -> DataFrame:
         base.append((r["shard"], before))
         before += r["n"]
     bases = spark.createDataFrame(base, "shard int, base long")
-    dealt = index.repartition("shard").sortWithinPartitions("shard", "at")
+    # As many read tasks as shards: the small index must not be merged into a few.
+    dealt = index.repartitionByRange(max(1, len(base)), "shard").sortWithinPartitions("shard", "at")
     read = dealt.mapInArrow(_checked, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    bases = F.broadcast(bases) if len(base) <= 1_000_000 else bases
+    return read.join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
