@@ -3,14 +3,17 @@
 A page is cut into its leaf blocks: text between block borders, with the path of open tags and
 their class and id words. A bidirectional LSTM in numpy reads the sequence of a page's blocks
 (hashed tag paths, hashed words and a few measures) and labels each block as main text or not,
-so a decision sees the whole document. Blocks that are not rendered (head, scripts, styles,
-templates, comments in markup) never become blocks; nor does text in an element with the
+so a decision sees the whole document. What is not rendered (head, scripts, styles, templates,
+frames, form fields, comments in markup) never becomes a block; nor does text in an element with the
 attribute ``hidden`` or the style ``display: none``, up to where that element closes. One that
 nothing closes hides nothing.
 
 The labeller is trained here, on ``pages`` pages made by rule from a grammar of layouts; no page
 of the corpus is used, so the model does not depend on the input.
 
+Memory: pages are labelled together while blocks times pages stay within ``CELLS``; a longer page is
+read alone, a chunk of blocks at a time, its states carried from chunk to chunk.
+
 Defined results: a null or empty page has an empty text; markup that is cut off is closed at the
 end; pages of one block or none are labelled alike; repeated rows are extracted each; an empty
 table gives an empty result; other columns are ignored.
@@ -32,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template iframe textarea select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr svg math object canvas audio video".split())
+DRAWN = frozenset(("svg", "math"))
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -43,6 +47,10 @@ NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 P_ENDS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure details".split())
 
 
+#: Elements from the root and from the leaf that a path's features take.
+DEEP = 32
+
+
 @dataclass
 class Block:
     text: str
@@ -67,16 +75,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...], list | None]] = []
     held: list[tuple[str, bool, tuple[list, ...]]] = []
     around: tuple[list, ...] = ()
-    links = 0
+    links = drawn = 0
+
+    def inline(tag: str) -> bool:
+        return drawn > 0 or tag in INLINE
 
     def end() -> None:
         nonlocal held
         if held:
-            cut.append((held, tuple(w for _, ws, _ in stack for w in ws)))
+            # Features of a path are those of its outer and inner elements, however deep it is.
+            near = stack if len(stack) <= 2 * DEEP else stack[:DEEP] + stack[-DEEP:]
+            cut.append((held, tuple(w for _, ws, _ in near for w in ws)))
             held = []
 
     def close_from(k: int) -> None:
-        nonlocal around
+        nonlocal around, drawn
+        if drawn:
+            drawn -= sum(t in DRAWN for t, _, _ in stack[k:])
         if around:
             for _, _, mark in stack[k:]:
                 if mark is not None:
@@ -99,18 +114,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag not in INLINE:
+            if not inline(tag):
                 end()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     close_from(k)
                     break
-                if tag in INLINE and stack[k][0] not in INLINE:
+                if inline(tag) and not drawn and stack[k][0] not in INLINE:
                     break
             continue
         if tag in RAW or tag == "head" or tag == "title":
             if tag not in VOID and not (m[3] or "").endswith("/"):
-                if tag not in INLINE:
+                if not inline(tag):
                     end()
                 close = re.compile(rf"</{re.escape(tag)}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
                 at = (close.start() if close[0].lower().startswith("<body") else close.end()) if close else n
@@ -118,9 +133,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
         mark = [] if tag not in VOID and hidden(m[3] or "") else None
         if mark is not None and (m[3] or "").endswith("/"):
             continue
-        if tag in INLINE:
+        if drawn and tag in P_ENDS:  # a block ends a drawing that was left open
+            close_from(next(k for k, (t, _, _) in enumerate(stack) if t in DRAWN))
+        if inline(tag):
             links += tag == "a"
-            if tag not in VOID:
+            if tag not in VOID and not ((drawn or tag in DRAWN) and (m[3] or "").endswith("/")):
+                drawn += tag in DRAWN
                 stack.append((tag, (), mark))
                 around += () if mark is None else (mark,)
             continue
@@ -153,6 +171,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
 # --- features and the labeller ------------------------------------------------------------------
 
 PATH_DIM, WORD_DIM, EXTRA = 160, 48, 8
+#: Blocks times pages that are labelled together, and the blocks of a chunk of a longer page.
+CELLS, CHUNK = 1 << 16, 4096
 #: Pages a matrix product takes at once: wider ones start BLAS threads, which cost more than they save here.
 NARROW = 16
 
@@ -169,15 +189,16 @@ def _path_slots(path: tuple[str, ...]) -> np.ndarray:
     return np.array([_slot(w, PATH_DIM) for w in (*path, *last)], np.int64)
 
 
-def encode(blocks: list[Block]) -> np.ndarray:
-    """One row a block: its tag path, words and measures."""
+def encode(blocks: list[Block], first: int = 0, total: int = 0) -> np.ndarray:
+    """One row a block: its tag path, words and measures. ``blocks`` start at ``first`` of a page's ``total``."""
+    total = total or len(blocks)
     x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + EXTRA), np.float32)
     measures = []
     for i, b in enumerate(blocks):
         x[i, _path_slots(b.path)] = 1
         own, n, row = b.text.lower().split(), len(b.text), x[i, PATH_DIM : PATH_DIM + WORD_DIM]
         row[[_slot(w, WORD_DIM) for w in own]] = 1 / math.sqrt(max(1, len(own)))
-        measures.append((min(1.5, math.log1p(n) / 6), min(1.5, math.log1p(len(own)) / 4), b.linked, b.text[-1] in ".!?…", b.text.count(",") * 10 / (n + 10), min(1, len(b.path) / 12), i / len(blocks), 1))
+        measures.append((min(1.5, math.log1p(n) / 6), min(1.5, math.log1p(len(own)) / 4), b.linked, b.text[-1] in ".!?…", b.text.count(",") * 10 / (n + 10), min(1, len(b.path) / 12), (first + i) / total, 1))
     if measures:
         x[:, -EXTRA:] = measures
     return x
@@ -200,12 +221,12 @@ class BlockLabeller:
         self.p["v"] = (rng.standard_normal(2 * h) * 0.2).astype(np.float32)
         self.p["o"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """States of one direction; x: time x batch x dim."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, start: tuple[np.ndarray, np.ndarray] | None = None):
+        """States of one direction, from ``start`` on; x: time x batch x dim."""
         h = self.hidden
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         z0 = np.concatenate([x[:, k : k + NARROW] @ self.p["W" + d] for k in range(0, x.shape[1], NARROW)], axis=1) + self.p["c" + d]
-        s, c = np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32)
+        s, c = start or (np.zeros((x.shape[1], h), np.float32), np.zeros((x.shape[1], h), np.float32))
         out, trace = np.zeros((*x.shape[:2], h), np.float32), []
         for t in steps:
             z = z0[t] + s @ self.p["U" + d]
@@ -218,6 +239,7 @@ class BlockLabeller:
                 trace.append((t, s, c, i, f, o, u, tc, m))
             s, c = o * tc * m, c1
             out[t] = s
+        self.last = s, c
         return out, trace
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -260,18 +282,38 @@ class BlockLabeller:
                     v[name] = 0.999 * v.get(name, 0) + 0.001 * g * g
                     self.p[name] = (self.p[name] - rate * (m[name] / (1 - 0.9**k)) / (np.sqrt(v[name] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
 
-    def label(self, sequences: list[np.ndarray], batch: int = 64) -> list[np.ndarray]:
-        """True where a block is main text; sequences of like length are run together."""
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(sequences)
-        order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i]))
-        for at in range(0, len(order), batch):
+    def label(self, pages: list[list[Block]], batch: int = 64) -> list[np.ndarray]:
+        """True where a block is main text; pages of like length are run together."""
+        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+        at = 0
+        while at < len(order):
             own = order[at : at + batch]
-            x, mask, _ = pad([sequences[i] for i in own])
+            while len(own) > 1 and len(own) * len(pages[own[-1]]) > CELLS:
+                own = own[: len(own) // 2]
+            at += len(own)
+            if len(pages[own[-1]]) > CELLS:
+                out[own[0]] = self.label_long(pages[own[0]])
+                continue
+            x, mask, _ = pad([encode(pages[i]) for i in own])
             z = self.logits(x, mask)
             for k, i in enumerate(own):
-                out[i] = z[: len(sequences[i]), k] > 0
+                out[i] = z[: len(pages[i]), k] > 0
         return out
 
+    def label_long(self, page: list[Block], chunk: int = CHUNK) -> np.ndarray:
+        """``label`` of one page, of which the features of one chunk are held at a time."""
+        z = np.zeros(len(page), np.float32)
+        starts = list(range(0, len(page), chunk))
+        for k, d in enumerate("fb"):
+            state, v = None, self.p["v"][k * self.hidden : (k + 1) * self.hidden]
+            for s in starts if d == "f" else reversed(starts):
+                part = page[s : s + chunk]
+                x = encode(part, s, len(page))[:, None]
+                z[s : s + len(part)] += self._run(x, np.ones((len(part), 1), np.float32), d, False, state)[0][:, 0] @ v
+                state = self.last
+        return z + self.p["o"] > 0
+
 
 def pad(xs: list[np.ndarray], ys: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = max(map(len, xs))
@@ -397,7 +439,7 @@ def default_labeller(pages: int = 1500, seed: int = 5) -> BlockLabeller:
 
 def main_texts(pages: list[str | None], model: BlockLabeller) -> list[str]:
     blocks = [leaf_blocks(p) for p in pages]
-    keep = model.label([encode(b) for b in blocks])
+    keep = model.label(blocks)
     return ["\n".join(b.text for b, k in zip(own, ks) if k) for own, ks in zip(blocks, keep)]
 
 
