@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of ``documents``.
+
+Defined results: null texts and texts without a letter go in the first stage; null and repeated
+ids pass all stages as rows of their own; rows of equal id, text and source count as one in the mix,
+taken as often as all of them together; an empty table gives an empty result, and a benchmark
+without words drops nothing; further columns of ``documents`` are carried along, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from lexispark.llm.near_copies import near_copies
 from lexispark.llm.queries import table, tokenizer_path
 from lexispark.llm.simhash import keep_first
 from lexispark.llm.token_output import read_tokens, write_tokens
-from lexispark.session import work_path
+from lexispark.session import materialise, work_path
 
 #: A document goes if no language is recognised with at least this score.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -24,9 +30,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; texts that are null or hold no letter go."""
-    named = identify(docs, learn(docs), keep=tuple(docs.columns))
+    named = identify(docs, learn(docs), keep=tuple(docs.columns), names=("__lang_pred", "__lang_score"))
     # The text stands in the rows already: one pass, no join back.
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    return named.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +47,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: a row a copy."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "copies")
-    copies = copies.groupBy("__id", "__size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    # The predecessor leaves one row an id; were there more, each takes the rounded mean.
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    each = F.greatest(F.lit(1), F.round(F.col("copies") / F.col("rows"))).cast("int")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), each)).alias("__copy")).drop("__copy")
+    key = F.struct(F.col("doc_id").alias("id"), F.md5("text").alias("text"), F.col("source").alias("source"))
+    keyed = docs.withColumn("__key", key)
+    copies = mix(keyed, id_col="__key").where("copies > 0").groupBy("__key").agg(F.sum("copies").cast("int").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    copies = materialise(copies, "mix-copies")
+    taken = keyed.join(copies, keyed["__key"].eqNullSafe(copies["__key"])).drop(keyed["__key"])
+    # Equal rows: one stands for all. Usually there are none, and nothing more is shuffled.
+    if copies.where("__rows > 1").limit(1).count():
+        taken = taken.where("__rows = 1").unionByName(taken.where("__rows > 1").dropDuplicates(["__key"]))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
