@@ -79,8 +79,9 @@ def near_values(value: Column, bits: int, radius: int) -> Column:
     return F.transform(F.expr(f"array({', '.join(f'{m}L' for m in masks)})"), lambda m: value.bitwiseXOR(m))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 15, parts: int = 4, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row per (document id, item id) that match: similarity, start (word), distance (bits)."""
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 15, parts: int = 4, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row per distinct text and item that match: th (digest of the text), item, similarity, start
+    (word), distance (bits). A work table."""
     small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
     items = with_shingles(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("__t")), "__t", k).drop("__t").where("n > 0")
     plain = materialise(items.withColumn("fp", simhash(F.col("s"))), "bench-items")
@@ -110,7 +111,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
     windows = materialise(windows.groupBy("th").agg(F.collect_set(F.struct("n", "at")).alias("windows")), "bench-windows")
 
     # Their shingles, from one row a distinct text, and their fingerprints.
-    near = docs.select(F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("th"))
     one = texts.join(small(windows), "th").groupBy("th").agg(F.first("__t").alias("__t"), F.first("windows").alias("windows"))
     some = with_shingles(one, "__t", k).withColumn("v", F.explode("windows"))
     some = some.select("th", "v.n", "v.at", F.slice("s", F.col("v.at") + 1, F.greatest(F.lit(1), F.col("v.n") - k + 1)).alias("s")).where("size(s) > 0")
@@ -142,10 +142,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
         spent.append(first_best)
         best = materialise(best, "bench-short")
     discard(plain, items, weight, anchors, windows, prints, keyed, *spent)
-    return near.join(small(best), "th").select(F.col("__id").alias(id_col), F.col("item").alias(item_id), "similarity", "start", "distance").distinct()
+    return best
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_id: str = "item_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """One row per (document id, item id) that match: similarity, start (word), distance (bits)."""
+    best = matches(docs, benchmark, text_col=text_col, id_col=id_col, item_id=item_id, broadcast_rows=broadcast_rows, **options)
+    near = docs.select(F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("th"))
+    best = F.broadcast(best) if best.count() <= broadcast_rows else best
+    return near.join(best, "th").select(F.col("__id").alias(id_col), F.col("item").alias(item_id), "similarity", "start", "distance").distinct()
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that match no benchmark item; null ids are matched as a value."""
-    bad = materialise(contaminated(docs, benchmark, text_col=text_col, id_col=id_col, **options).select(F.col(id_col).alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+    """The rows of ``docs`` whose texts match no benchmark item; ids play no part."""
+    best = matches(docs, benchmark, text_col=text_col, id_col=id_col, broadcast_rows=broadcast_rows, **options)
+    bad = materialise(best.select(F.col("th").alias("__bad")).distinct(), "leaks")
+    discard(best)
+    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
+    return docs.withColumn("__th", digest(F.col(text_col))).join(bad, F.col("__th") == F.col("__bad"), "left_anti").select(docs.columns)
