@@ -19,4 +19,4 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     counts = ranked.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("__b", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = ranked.join(F.broadcast(before.select("__p", "__b")), "__p")  # a row a partition
-    return out.withColumn(name, (F.col("__r") + F.col("__b")).cast("int")).drop("__p", "__r", "__b")
+    return out.withColumn(name, (F.col("__r") + F.col("__b")).cast("long")).drop("__p", "__r", "__b")

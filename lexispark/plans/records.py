@@ -38,21 +38,27 @@ def metadata_reuse(d):
 
 @query
 def link_hit_test(d):
-    """First link box, with slop and a least width, that holds a touch; boxes are cut into bins of x."""
-    boxes = "boxes AS (SELECT p_partkey AS link, p_partkey % 50 AS page, p_partkey % 40 * 20 - 6 AS lo, p_partkey % 40 * 20 + greatest(p_size, 24) + 6 AS hi, p_size * 10 - 6 AS top, p_size * 10 + 18 AS bottom FROM part)"
+    """First link box that holds a touch, widened on all sides by the slop and at least to a width; right and
+    bottom edges are outside. Boxes of a page are cut into bins of x; pages grow with the links."""
+    boxes = """boxes AS (SELECT p_partkey AS link, CAST(floor(p_partkey / 40) AS BIGINT) AS page, p_partkey % 40 * 20 - wide AS lo, p_partkey % 40 * 20 + p_size + wide AS hi, p_size * 10 - 6 AS top, p_size * 10 + 12 + 6 AS bottom
+    FROM (SELECT *, greatest(6, CAST(floor(greatest(24 - p_size, 0) / 2) AS INT)) AS wide FROM part) AS p)"""
     return f"""WITH {boxes}, binned AS (SELECT link, page, lo, hi, top, bottom, {span(d, 'lo', 'hi', 64)} AS bin FROM boxes),
-    touches AS (SELECT event_id, event_id % 50 AS page, event_id * 7 % 800 AS x, event_id * 13 % 520 AS y FROM events)
-    SELECT t.event_id, min(b.link) AS link FROM touches t JOIN binned b ON t.page = b.page AND CAST(floor(t.x / 64.0) AS INT) = b.bin AND t.x BETWEEN b.lo AND b.hi AND t.y BETWEEN b.top AND b.bottom GROUP BY t.event_id"""
+    touches AS (SELECT event_id, event_id % (SELECT max(page) + 1 FROM boxes) AS page, event_id * 7 % 800 AS x, event_id * 13 % 520 AS y FROM events)
+    SELECT t.event_id, min(b.link) AS link FROM touches t JOIN binned b ON t.page = b.page AND CAST(floor(t.x / 64.0) AS INT) = b.bin AND t.x >= b.lo AND t.x < b.hi AND t.y >= b.top AND t.y < b.bottom GROUP BY t.event_id"""
 
 
 @query
 def bookmark_overlap(d):
-    """A bookmark is on a page with the same place, or if its progress is within half a page of it."""
-    rows = "SELECT event_id, user_id AS book, event_id % 5 AS spine, event_id % 7 AS page, event_id * 37 % 10000 AS pct FROM events"
-    return f"""WITH r AS ({rows}), marks AS (SELECT * FROM r WHERE event_id % 3 = 0), shown AS (SELECT * FROM r WHERE event_id % 3 = 1),
-    near AS (SELECT event_id, book, pct, {span(d, 'pct - 51', 'pct + 51', 100)} AS bin FROM shown)
-    SELECT s.event_id AS shown_id, m.event_id AS mark_id FROM shown s JOIN marks m ON s.book = m.book AND s.spine = m.spine AND s.page = m.page
-    UNION SELECT s.event_id AS shown_id, m.event_id AS mark_id FROM near s JOIN marks m ON s.book = m.book AND CAST(floor(m.pct / 100.0) AS INT) = s.bin AND m.pct BETWEEN s.pct - 51 AND s.pct + 51"""
+    """A bookmark is on a page if chapter, page count and page are the same, or if its share of the book is within
+    half a page step of the page's (a thousandth of tolerance). Every event is a bookmark and a page shown."""
+    pages = "5 + user_id % 40"
+    rows = f"SELECT event_id, user_id AS book, event_id % 5 AS spine, {pages} AS pages, event_id % ({pages}) AS page, event_id * 37 % 10000 AS pct FROM events"
+    # In ten-thousandths of a book of five chapters: a page's place, and half a step.
+    at, half = "spine * 2000 + CAST(floor(2000 * page / (pages - 1)) AS BIGINT)", "CAST(floor(1000 / (pages - 1)) AS BIGINT)"
+    return f"""WITH r AS ({rows}), shown AS (SELECT *, greatest(spine * 2000, {at} - {half}) - 10 AS lo, least((spine + 1) * 2000, {at} + {half}) + 10 AS hi FROM r),
+    near AS (SELECT event_id, book, lo, hi, {span(d, 'lo', 'hi', 200)} AS bin FROM shown)
+    SELECT s.event_id AS shown_id, m.event_id AS mark_id FROM shown s JOIN r m ON s.book = m.book AND s.spine = m.spine AND s.pages = m.pages AND s.page = m.page
+    UNION SELECT s.event_id AS shown_id, m.event_id AS mark_id FROM near s JOIN r m ON s.book = m.book AND CAST(floor(m.pct / 200.0) AS INT) = s.bin AND m.pct BETWEEN s.lo AND s.hi"""
 
 
 RULES = "rules AS (SELECT * FROM (VALUES ('p', 'indent', '1em', 1), ('div', 'margin', '0', 2), ('.content', 'margin', '2em', 3), ('div.content', 'align', 'left', 4), ('.sidebar', 'align', 'right', 5), ('div.sidebar', 'margin', '1em', 6), ('.ad', 'margin', '9px', 7), ('.comment', 'indent', '0', 8), ('div', 'align', 'justify', 9)) AS v(selector, prop, val, pos))"
@@ -110,9 +116,9 @@ def manifest_nested(d):
 @query
 def library_display(d):
     """Title, else file name; 'Last, First' heading; an author named unknown is none."""
-    author = f"nullif({d.fold(d.clean_name('source_author'))}, 'unknown')"
+    author = f"nullif({d.fold('clean')}, 'unknown')"
     heading = d.rx(author, "^(.*) ([^ ]+)$", "$2, $1" if d.spark else r"\2, \1")
-    return f"WITH {books(d)} SELECT doc_id, coalesce(nullif(trim(title), ''), {d.first('path', '([^/]*)$', 1)}) AS shown, {heading} AS heading FROM books"
+    return f"WITH {books(d)}, cleaned AS (SELECT *, {d.clean_name('source_author')} AS clean FROM books) SELECT doc_id, coalesce(nullif(trim(title), ''), {d.first('path', '([^/]*)$', 1)}) AS shown, {heading} AS heading FROM cleaned"
 
 
 @query
