@@ -1,5 +1,5 @@
 """Registered queries: name to (run, checking SQL)."""
 
-from . import catalog, records
+from . import catalog, records, shelves, strings
 
-QUERIES = catalog.QUERIES | records.QUERIES
+QUERIES = catalog.QUERIES | records.QUERIES | shelves.QUERIES | strings.QUERIES
