@@ -22,8 +22,9 @@ rows are within ``broadcast_rows``; beyond, Spark joins by shuffle. Hits carry t
 text, not the id, so copies of a text are examined once and null or repeated ids do no harm.
 
 Defined results: null and empty texts and items without words match nothing; items of fewer
-words than ``k`` match where a document holds all their words in a row; an item that repeats gives a row for each item id; empty tables
-give an empty result; other columns are ignored.
+words than ``k`` match where a document holds all their words in a row; items of equal text are one
+and give a row for each of their ids, a null one too; empty tables give an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,11 +80,17 @@ def near_values(value: Column, bits: int, radius: int) -> Column:
     return F.transform(F.expr(f"array({', '.join(f'{m}L' for m in masks)})"), lambda m: value.bitwiseXOR(m))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 15, parts: int = 4, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row per distinct text and item that match: th (digest of the text), item, similarity, start
-    (word), distance (bits). A work table."""
+def item_key(text: Column) -> Column:
+    """Names an item by its text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 15, parts: int = 4, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row per distinct text and item that match: th (digest of the text), item (``item_key``), similarity,
+    start (word), distance (bits). A work table."""
     small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
-    items = with_shingles(benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("__t")), "__t", k).drop("__t").where("n > 0")
+    distinct = benchmark.select(item_key(F.col(item_text)).alias("item"), F.col(item_text).alias("__t")).dropDuplicates(["item"])
+    items = with_shingles(distinct, "__t", k).drop("__t").where("n > 0")
     plain = materialise(items.withColumn("fp", simhash(F.col("s"))), "bench-items")
     n_items = float(max(1, plain.count()))
     each = plain.select("item", "n", F.posexplode("s").alias("j", "h"))
@@ -145,12 +152,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_id: str = "item_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """One row per (document id, item id) that match: similarity, start (word), distance (bits)."""
-    best = matches(docs, benchmark, text_col=text_col, id_col=id_col, item_id=item_id, broadcast_rows=broadcast_rows, **options)
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    best = matches(docs, benchmark, text_col=text_col, id_col=id_col, item_text=item_text, broadcast_rows=broadcast_rows, **options)
+    ids = benchmark.select(F.col(item_id).alias("__item"), item_key(F.col(item_text)).alias("item")).distinct()
+    named = best.join(small(ids), "item").select("th", F.col("__item").alias("item"), "similarity", "start", "distance")
     near = docs.select(F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("th"))
-    best = F.broadcast(best) if best.count() <= broadcast_rows else best
-    return near.join(best, "th").select(F.col("__id").alias(id_col), F.col("item").alias(item_id), "similarity", "start", "distance").distinct()
+    return near.join(small(named), "th").select(F.col("__id").alias(id_col), F.col("item").alias(item_id), "similarity", "start", "distance").distinct()
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
