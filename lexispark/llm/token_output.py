@@ -110,6 +110,17 @@ class _RunOfSpaces(Exception):
     """A blank of the text stands beside other white space."""
 
 
+_encoders: dict[tuple[str, str], PieceEncoder] = {}
+
+
+def encoder_of(path: str, dtype: str) -> PieceEncoder:
+    """The encoder of a tokenizer, once a worker process: its vocabulary and known pieces serve all its tasks."""
+    if (path, dtype) not in _encoders:
+        _encoders.clear()
+        _encoders[path, dtype] = PieceEncoder(path, dtype=dtype)
+    return _encoders[path, dtype]
+
+
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -176,7 +187,7 @@ class ShardReader:
 def encode_shards(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str, end_id: int, length: int, rows: int, dtype: str) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    shard, encoder, writer, at = TaskContext.get().partitionId(), PieceEncoder(tokenizer, dtype=dtype), None, 0
+    shard, encoder, writer, at = TaskContext.get().partitionId(), encoder_of(tokenizer, dtype), None, 0
     path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.arrow"
     end, width = np.array([end_id], dtype=dtype).tobytes(), np.dtype(dtype).itemsize
     for b in batches:
