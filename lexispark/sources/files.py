@@ -7,7 +7,9 @@ input is treated alike.
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +30,8 @@ def library_files(spark: SparkSession, root: str, depth: int = 5) -> DataFrame:
 def zip_entries(spark: SparkSession, root: str, entry: str | None = None) -> DataFrame:
     """(path, entry, method, packed, size, content) of the containers under ``root``.
 
-    ``content`` is read only for entries whose name matches the pattern ``entry``.
+    ``content`` is read only for entries whose name matches the pattern ``entry``; it is null where an
+    entry is encrypted, damaged or packed by an unknown method.
     """
     import re
 
@@ -36,6 +39,12 @@ def zip_entries(spark: SparkSession, root: str, entry: str | None = None) -> Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
     names = ["path", "entry", "method", "packed", "size", "content"]
 
+    def content(z: zipfile.ZipFile, e: zipfile.ZipInfo) -> bytes | None:
+        try:
+            return z.read(e)
+        except (RuntimeError, zipfile.BadZipFile, zlib.error, EOFError, OSError):  # NotImplementedError is a RuntimeError
+            return None
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
@@ -43,7 +52,7 @@ def zip_entries(spark: SparkSession, root: str, entry: str | None = None) -> Dat
                 try:
                     with zipfile.ZipFile(io.BytesIO(raw.as_py() or b"")) as z:
                         for e in z.infolist():
-                            rows.append((path, e.filename, e.compress_type, e.compress_size, e.file_size, z.read(e) if wanted and wanted.search(e.filename) else None))
+                            rows.append((path, e.filename, e.compress_type, e.compress_size, e.file_size, content(z, e) if wanted and wanted.search(e.filename) else None))
                 except zipfile.BadZipFile:
                     continue
                 kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -61,12 +70,13 @@ def opf_metadata(df: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def opf_spine(df: DataFrame, keep: list[str], xml: str = "xml") -> DataFrame:
-    """A row an item of the spine in order, with the manifest's href; items not in it are left out."""
+    """A row an item of the spine in order, with the manifest's href (the first of a repeated id); items not
+    in it are left out."""
     def attr(path: str) -> str:
         return f"xpath({xml}, '//*[name()=\"{path.split('/')[0]}\"]/@{path.split('/')[1]}')"
 
-    got = df.selectExpr(*keep, f"map_from_entries(arrays_zip({attr('item/id')}, {attr('item/href')})) AS m", f"posexplode({attr('itemref/idref')}) AS (idx, idref)")
-    return got.selectExpr(*keep, "idx", "idref", "m[idref] AS href").where("href IS NOT NULL")
+    got = df.selectExpr(*keep, f"arrays_zip({attr('item/id')}, {attr('item/href')}) AS m", f"posexplode({attr('itemref/idref')}) AS (idx, idref)")
+    return got.selectExpr(*keep, "idx", "idref", "get(filter(m, x -> x.`0` = idref), 0).`1` AS href").where("href IS NOT NULL")
 
 
 def feed_entries(df: DataFrame, keep: list[str], xml: str = "xml") -> DataFrame:
@@ -105,3 +115,31 @@ def write_if_changed(df: DataFrame, path: str) -> bool:
     fs.rename(aside, at)
     fs.delete(old, True)
     return True
+
+
+def stardict(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Dictionaries under ``root``: (path, ordinal, headword, at, size) of the index files and (path, word, ordinal)
+    of the synonym files. ``path`` is without the suffix. Indexes of 64-bit offsets are refused: they give no rows."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    of = lambda suffix: scan.option("pathGlobFilter", f"*.{suffix}").load(root).select(F.regexp_replace("path", r"\.[a-z]+$", "").alias("path"), "content")
+    wide = of("ifo").where(F.decode("content", "UTF-8").rlike(r"(?m)^idxoffsetbits\s*=\s*64")).select("path")
+
+    def words(raw: bytes, tail: str) -> Iterator[tuple]:
+        at, size = 0, struct.calcsize(tail)
+        while (end := raw.find(b"\0", at)) >= 0 and end + 1 + size <= len(raw):
+            yield raw[at:end].decode("utf-8", "replace"), *struct.unpack(tail, raw[end + 1 : end + 1 + size])
+            at = end + 1 + size
+
+    def parsed(tail: str, names: list[str], kinds: list[pa.DataType], shape):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                    rows = [(path, *shape(i, w)) for i, w in enumerate(words(raw.as_py() or b"", tail))]
+                    for k in range(0, len(rows), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 50_000]), kinds)], names=names)
+
+        return run
+
+    index = of("idx").join(wide, "path", "left_anti").mapInArrow(parsed(">II", ["path", "ordinal", "headword", "at", "size"], [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()], lambda i, w: (i, w[0], w[1], w[2])), "path string, ordinal long, headword string, at long, size long")
+    synonyms = of("syn").mapInArrow(parsed(">I", ["path", "word", "ordinal"], [pa.string(), pa.string(), pa.int64()], lambda i, w: (w[0], w[1])), "path string, word string, ordinal long")
+    return index, synonyms

@@ -60,3 +60,54 @@ def test_flows(spark, tmp_path):
     books = stream.selectExpr("client AS path", "seq AS mtime", "size")
     refresh(books, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert {(r.path, r.mtime) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 3), ("b", 1), ("c", 2), ("d", 1)}
+
+
+def test_containers_with_faults(spark, tmp_path):
+    import zipfile
+
+    from lexispark.sources.files import zip_entries
+
+    with zipfile.ZipFile(tmp_path / "a.epub", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("good.txt", "x" * 500)
+        z.writestr("bad.txt", "some other text " * 50)
+    raw = bytearray((tmp_path / "a.epub").read_bytes())
+    at = raw.find(b"bad.txt") + len("bad.txt")
+    raw[at : at + 8] = b"\xff" * 8
+    (tmp_path / "a.epub").write_bytes(bytes(raw))
+    (tmp_path / "b.epub").write_bytes(b"no container")
+    got = {r["entry"]: r["content"] for r in zip_entries(spark, str(tmp_path), "txt").collect()}
+    assert bytes(got["good.txt"]) == b"x" * 500 and got["bad.txt"] is None and len(got) == 2
+
+
+def test_repeated_manifest_ids(spark):
+    from lexispark.sources.files import opf_spine
+
+    xml = '<package><manifest><item id="a" href="1.x"/><item id="a" href="2.x"/><item id="b" href="3.x"/></manifest><spine><itemref idref="b"/><itemref idref="a"/><itemref idref="zz"/></spine></package>'
+    rows = opf_spine(spark.createDataFrame([(1, xml), (2, None)], "id int, xml string"), ["id"]).collect()
+    assert [(r["idx"], r["href"]) for r in rows] == [(0, "3.x"), (1, "1.x")]
+
+
+def test_stardict(spark, tmp_path):
+    import struct
+
+    from lexispark.sources.files import stardict
+
+    (tmp_path / "d.ifo").write_text("wordcount=2\n")
+    (tmp_path / "d.idx").write_bytes(b"".join(w.encode() + b"\0" + struct.pack(">II", a, n) for w, a, n in [("apple", 0, 5), ("été", 5, 7)]) + b"cut")
+    (tmp_path / "d.syn").write_bytes(b"apples\0" + struct.pack(">I", 0))
+    (tmp_path / "e.ifo").write_text("idxoffsetbits=64\n")
+    (tmp_path / "e.idx").write_bytes(b"x\0" + struct.pack(">QI", 0, 1))
+    index, synonyms = stardict(spark, str(tmp_path))
+    assert [(r["ordinal"], r["headword"], r["at"], r["size"]) for r in index.orderBy("ordinal").collect()] == [(0, "apple", 0, 5), (1, "été", 5, 7)]
+    hop = synonyms.join(index, ["path", "ordinal"]).first()
+    assert (hop["word"], hop["headword"]) == ("apples", "apple")
+
+
+def test_compose_and_repair(spark):
+    from pyspark.sql import functions as F
+
+    from lexispark.functions.unicode import compose_nfc, repair_utf8
+
+    rows = [("e\u0301 U\u031b\u0301", b"ab\xffc"), ("plain", b"\xed\xa0\x80"), (None, None), ("\u1112\u1161\u11ab", b"\xc3\xa9")]
+    got = spark.createDataFrame(rows, "t string, b binary").select(compose_nfc(F.col("t")), repair_utf8(F.col("b"))).collect()
+    assert [r[0] for r in got] == ["\u00e9 \u1ee8", "plain", None, "\ud55c"] and got[0][1] == "ab\ufffdc" and got[3][1] == "\u00e9" and "\ufffd" in got[1][1]
