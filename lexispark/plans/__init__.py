@@ -1,5 +1,5 @@
-"""Registered queries: name to (run, checking SQL)."""
+"""Registered queries: name to (run, checking SQL or None)."""
 
-from . import catalog, records, shelves, strings
+from . import catalog, layouts, records, shelves, strings
 
-QUERIES = catalog.QUERIES | records.QUERIES | shelves.QUERIES | strings.QUERIES
+QUERIES = catalog.QUERIES | records.QUERIES | shelves.QUERIES | strings.QUERIES | layouts.QUERIES

@@ -32,7 +32,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in QUERIES.items() if sql))
 def test_twin(spark, duck, name):
     run, sql = QUERIES[name]
     assert rows(run(spark, str(DATA)).toPandas()) == rows(duck.execute(sql).df())
