@@ -16,7 +16,6 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import partial
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,25 +134,25 @@ def even(paragraph: str, width: int, indent: int = 0, places=None) -> list[str]:
     n = len(row)
     if not n:
         return []
-    own, gaps = np.array([cells(t) for t, _, _ in row]), np.array([g for _, g, _ in row])
-    free = np.array([f for _, _, f in row] + [True])
-    ends = np.cumsum(own + gaps)  # a line i..j takes ends[j] - ends[i] + own[i]
-    least, last = np.zeros(n + 1, np.int64), np.arange(n)
+    own, gaps, free = [cells(t) for t, _, _ in row], [g for _, g, _ in row], [f for _, _, f in row]
+    least, last = [0] * (n + 1), list(range(n))
     for i in range(n - 2, -1, -1):
         room = width - indent * (i == 0)
-        stop = int(np.searchsorted(ends, room + ends[i] - own[i], "right"))
-        stops = np.arange(i, stop)[free[i + 1 : stop + 1]]
-        if not len(stops):
-            least[i] = least[i + 1]  # one wide word or group: a line for its first token
-            continue
-        empty = room - (ends[stops] - ends[i] + own[i])
-        cost = np.where(stops == n - 1, 0, empty * empty + least[stops + 1])
-        best = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        least[i], last[i] = cost[best], stops[best]
+        left, best, at = room - own[i], None, i
+        for j in range(i, n):  # no more steps than a line has tokens
+            left -= own[j] + gaps[j] if j > i else 0
+            if left < 0:
+                break
+            if j + 1 == n or free[j + 1]:
+                cost = 0 if j + 1 == n else left * left + least[j + 1]
+                if best is None or cost <= best:
+                    best, at = cost, j
+        # One wide word or group: a line for its first token.
+        least[i], last[i] = least[i + 1] if best is None else best, at
     lines, i = [], 0
     while i < n:
         lines.append(_line(row[i : last[i] + 1]))
-        i = int(last[i]) + 1
+        i = last[i] + 1
     return lines
 
 
