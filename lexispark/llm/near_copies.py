@@ -33,11 +33,12 @@ component; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, materialise
@@ -295,7 +296,19 @@ def _rest(firsts: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simil
     return links
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 1, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000, sample: int = 16, frequent: int = 100_000) -> DataFrame:
+@contextmanager
+def _arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows: a row here is a whole text or its set of hashes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 1, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000, sample: int = 16, frequent: int = 100_000, batch_rows: int = 1024) -> DataFrame:
     """One row per document: id, component_id (smallest id in the component), component and its text's hash.
 
     Components are those of texts, named by ``text_hash``; ids only name the result, so null and
