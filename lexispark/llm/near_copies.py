@@ -197,11 +197,15 @@ def _may_link(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
             if index is None:
                 counts = np.stack([c for _, c in held])
                 index = counts, counts.sum(1, dtype=np.int64), np.array([r for r, _ in held])
+                held = []
             counts, sizes, theirs = index
-            most = np.minimum(counts, mine).sum(1, dtype=np.int64)
-            if ((most >= similarity * (mine.sum(dtype=np.int64) + sizes - most) - 1e-9) & (theirs != roots[i])).any():
-                a_out.append(ids[i])
-                b_out.append(at[0])
+            n = mine.sum(dtype=np.int64)
+            for k in range(0, len(counts), 512):  # a block of short texts has many rows
+                most = np.minimum(counts[k : k + 512], mine).sum(1, dtype=np.int64)
+                if ((most >= similarity * (n + sizes[k : k + 512] - most) - 1e-9) & (theirs[k : k + 512] != roots[i])).any():
+                    a_out.append(ids[i])
+                    b_out.append(at[0])
+                    break
         yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
@@ -224,6 +228,7 @@ def _block_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterat
                 flat, owner = np.concatenate([h for _, _, h in held]), np.repeat(np.arange(len(held)), sizes)
                 order = np.argsort(flat, kind="stable")
                 index = flat[order], owner[order], sizes, np.array([k for k, _, _ in held]), np.array([r for _, r, _ in held])
+                held = []
             flat, owner, sizes, names, theirs = index
             low, high = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right")
             n = high - low
@@ -297,23 +302,31 @@ def _rest(firsts: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simil
 
 
 @contextmanager
-def _arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows: a row here is a whole text or its set of hashes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def _arrow_batches(spark: SparkSession, rows: int, size: str) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes: a row here is a whole text or its set of hashes."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 1, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000, sample: int = 16, frequent: int = 100_000, batch_rows: int = 1024) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 1, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000, sample: int = 16, frequent: int = 100_000, batch_rows: int = 1024, batch_size: str = "8m") -> DataFrame:
     """One row per document: id, component_id (smallest id in the component), component and its text's hash.
 
     Components are those of texts, named by ``text_hash``; ids only name the result, so null and
-    repeated ids join nothing.
+    repeated ids join nothing. Python workers get at most ``batch_rows`` rows and about ``batch_size`` bytes at
+    a time: all that needs them is written here, the rows returned are joined from work tables.
     """
+    with _arrow_batches(docs.sparkSession, batch_rows, batch_size):
+        return _near_copies(docs, words, similarity, radius, far, strata, rounds, text_col, id_col, hot_rows, broadcast_rows, sample, frequent)
+
+
+def _near_copies(docs: DataFrame, words: int, similarity: float, radius: int, far: int, strata: int, rounds: int, text_col: str, id_col: str, hot_rows: int, broadcast_rows: int, sample: int, frequent: int) -> DataFrame:
     given = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("text_hash"))
     rows = docs.select(text_hash(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
     late = _frequent(rows, words, sample, frequent)

@@ -129,3 +129,21 @@ def test_one_row_of_each_class_stays(spark):
     kept = keep_first(df, near_copies(df))
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=str) == sorted([(None, b), (5, c), (5, d), (7, a.upper() + " x"), (None, "")], key=str)
+
+
+def test_batches_for_python_are_bounded(spark, monkeypatch):
+    from lexispark.llm import near_copies as module
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before, seen, write = [spark.conf.get(k) for k in keys], set(), module.materialise
+
+    def noted(df, name, **options):
+        seen.add(tuple(spark.conf.get(k) for k in keys))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(module, "materialise", noted)
+    rows = made(n=30)
+    got = {r.doc_id: r.component_id for r in near_copies(frame(spark, rows), batch_rows=4, batch_size="64k").collect()}
+    assert seen == {("4", "64k")}
+    assert [spark.conf.get(k) for k in keys] == before
+    assert got == brute(rows)
