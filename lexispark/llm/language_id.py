@@ -131,22 +131,24 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
     keep = tuple(c for c in keep if c not in names)
     if model is None:
         return docs.select(*keep, F.lit("und").alias(lang_name), F.lit(0.0).alias(score_name))
-    rows = docs.select(*keep, F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("__t"))
-    schema = rows.drop("__t").schema.add(lang_name, "string").add(score_name, "double")
+    # The text goes to the workers once, also where it is kept.
+    sent = keep if text_col in keep else (*keep, text_col)
+    rows = docs.select(*sent, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    schema = docs.select(*keep).schema.add(lang_name, "string").add(score_name, "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB: landmarks x bins
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(sent.index(text_col))
             lang, prob = ["und"] * len(texts), np.zeros(len(texts))
-            at = [i for i, t in enumerate(texts) if t is not None]
+            at = np.flatnonzero(b.column(len(sent)).to_numpy(zero_copy_only=False))
             for k in range(0, len(at), batch):
-                own = at[k : k + batch]
-                got, p = m.predict([texts[i] for i in own])
+                own = at[k : k + batch].tolist()
+                got, p = m.predict([texts[i].as_py() for i in own])
                 for i, g, q in zip(own, got, p):
                     lang[i], prob[i] = g, q
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang), pa.array(prob)], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang), pa.array(prob)], names=[*keep, *names])
 
     return rows.mapInArrow(score, schema)
 
