@@ -22,7 +22,7 @@ from lexispark.llm.near_copies import near_copies
 from lexispark.llm.queries import table, tokenizer_path
 from lexispark.llm.simhash import keep_first
 from lexispark.llm.token_output import read_tokens, write_tokens
-from lexispark.session import materialise, work_path
+from lexispark.session import arrow_batches, materialise, work_path
 
 #: A document goes if no language is recognised with at least this score.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -30,9 +30,12 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; texts that are null or hold no letter go."""
-    named = identify(docs, learn(docs), keep=tuple(docs.columns), names=("__lang_pred", "__lang_score"))
-    # The text stands in the rows already: one pass, no join back.
-    return named.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    # Written here, so that the workers get few texts at a time.
+    with arrow_batches(spark):
+        named = identify(docs, learn(docs), keep=tuple(docs.columns), names=("__lang_pred", "__lang_score"))
+        # The text stands in the rows already: one pass, no join back.
+        kept = named.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+        return materialise(kept, "language-id")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

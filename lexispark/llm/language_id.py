@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import hand_back
+
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Odd multipliers of the n-gram hash, one an order.
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
@@ -149,6 +151,7 @@ def identify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
                 for i, g, q in zip(own, got, p):
                     lang[i], prob[i] = g, q
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(lang), pa.array(prob)], names=[*keep, *names])
+        hand_back()
 
     return rows.mapInArrow(score, schema)
 

@@ -33,15 +33,14 @@ component; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from math import ceil, floor, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialise
+from ..session import arrow_batches, discard, hand_back, materialise
 from .graph import components, grown, join_groups, rooted
 from .simhash import fingerprint, hamming_links, shingle_hashes, text_hash
 
@@ -90,6 +89,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], words: int, similarity: float,
             firsts.append(prefix_hashes(u, similarity, frequent))
         signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
         yield pa.record_batch([b.column(0), signed(fps), pa.array(ns, pa.int64()), signed(sets), _lists(keys), _lists(firsts)], names=["text_hash", "fp", "n", "set", "keys", "prefix"])
+    hand_back()
 
 
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -301,20 +301,6 @@ def _rest(firsts: DataFrame, rows: DataFrame, comp: DataFrame, words: int, simil
     return links
 
 
-@contextmanager
-def _arrow_batches(spark: SparkSession, rows: int, size: str) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows and about ``size`` bytes: a row here is a whole text or its set of hashes."""
-    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
-    before = {key: spark.conf.get(key) for key in limits}
-    for key, value in limits.items():
-        spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, far: int = 24, strata: int = 6, rounds: int = 1, text_col: str = "text", id_col: str = "doc_id", hot_rows: int = 2048, broadcast_rows: int = 1_000_000, sample: int = 16, frequent: int = 100_000, batch_rows: int = 1024, batch_size: str = "8m") -> DataFrame:
     """One row per document: id, component_id (smallest id in the component), component and its text's hash.
 
@@ -322,7 +308,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     repeated ids join nothing. Python workers get at most ``batch_rows`` rows and about ``batch_size`` bytes at
     a time: all that needs them is written here, the rows returned are joined from work tables.
     """
-    with _arrow_batches(docs.sparkSession, batch_rows, batch_size):
+    with arrow_batches(docs.sparkSession, batch_rows, batch_size):
         return _near_copies(docs, words, similarity, radius, far, strata, rounds, text_col, id_col, hot_rows, broadcast_rows, sample, frequent)
 
 

@@ -16,6 +16,7 @@ the order of a hash of their texts. Repeated rows are encoded each. An empty tab
 from __future__ import annotations
 
 import sys
+import threading
 import uuid
 import zlib
 from array import array
@@ -27,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise, work_path
+from ..session import arrow_batches, hand_back, materialise, work_path
 
 INDEX_SCHEMA = "shard int, path string, doc_id long, at long, n_tokens long"
 
@@ -111,16 +112,35 @@ class _RunOfSpaces(Exception):
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
+_leaving: list[threading.Timer] = []
+
+#: Seconds without a task after which a worker process lets go of its encoder.
+IDLE_S = 2.0
 
 
 def encoder_of(path: str, dtype: str) -> PieceEncoder:
     """The encoder of a tokenizer, once a worker process: its vocabulary and known pieces serve all its tasks."""
+    while _leaving:
+        _leaving.pop().cancel()
     if (path, dtype) not in _encoders:
         _encoders.clear()
         _encoders[path, dtype] = PieceEncoder(path, dtype=dtype)
     return _encoders[path, dtype]
 
 
+def _let_go() -> None:
+    _encoders.clear()
+    hand_back()
+
+
+def let_go_when_idle() -> None:
+    """Spark keeps its workers for other jobs, so an encoder of 150 MB must not stay in an idle one."""
+    timer = threading.Timer(IDLE_S, _let_go)
+    timer.daemon = True
+    _leaving.append(timer)
+    timer.start()
+
+
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
@@ -202,17 +222,22 @@ def encode_shards(batches: Iterator[pa.RecordBatch], root: str, tokenizer: str,
         yield pa.record_batch([pa.array([shard] * len(starts), pa.int32()), pa.array([path] * len(starts)), doc_ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], names=["shard", "path", "doc_id", "at", "n_tokens"])
     if writer:
         writer.close()
+    let_go_when_idle()
+
 
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, rows: int = 256, text_col: str = "text", id_col: str = "doc_id", dtype: str = "<u2", root: str | None = None, batch_rows: int = 1024, batch_size: str = "8m") -> DataFrame:
+    """Write the shards; returns the index: shard, path, doc_id, at (in its shard), n_tokens.
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2048, rows: int = 256, text_col: str = "text", id_col: str = "doc_id", dtype: str = "<u2", root: str | None = None) -> DataFrame:
-    """Write the shards; returns the index: shard, path, doc_id, at (in its shard), n_tokens."""
+    Python workers get at most ``batch_rows`` texts and about ``batch_size`` bytes at a time.
+    """
     root = root or work_path(docs.sparkSession, "tokens")
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # Rows of one id go by their texts, so reruns agree and a hot id (or null) is cut into several shards.
     order = ["doc_id", F.xxhash64("text"), "text"]
     ordered = rows_in.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     index = ordered.mapInArrow(lambda it: encode_shards(it, root, tokenizer, end_id, length, rows, dtype), INDEX_SCHEMA)
-    return materialise(index, "token-index")
+    with arrow_batches(docs.sparkSession, batch_rows, batch_size):
+        return materialise(index, "token-index")
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

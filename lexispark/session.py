@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,3 +73,29 @@ def discard(*tables: DataFrame) -> None:
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.work_path)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1024, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, for rows that hold a whole text or its set of hashes.
+
+    Only what is written inside is bound: plans that run later get the session's own limits.
+    """
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in limits}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def hand_back() -> None:
+    """Return a Python worker's free memory to the system: Spark keeps the worker for other jobs."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
