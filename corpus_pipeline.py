@@ -30,12 +30,14 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; texts that are null or hold no letter go."""
-    # Written here, so that the workers get few texts at a time.
+    texts = docs.where(F.col("text").isNotNull())
+    # Only the digests of texts that go are written, inside the bound on what the workers get at a time.
     with arrow_batches(spark):
-        named = identify(docs, learn(docs), keep=tuple(docs.columns), names=("__lang_pred", "__lang_score"))
-        # The text stands in the rows already: one pass, no join back.
-        kept = named.where((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
-        return materialise(kept, "language-id")
+        named = identify(texts.select(F.md5("text").alias("digest"), "text"), learn(docs), keep=("digest",))
+        gone = named.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select("digest").distinct()
+        gone = materialise(gone, "no-language")
+    few = F.broadcast(gone) if gone.count() <= 200_000 else gone
+    return texts.join(few, F.md5(texts["text"]) == gone["digest"], "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,14 @@ def test_stages_send_few_texts_at_a_time(spark, monkeypatch, module, stage):
     assert dict(corpus_pipeline.STAGES)[stage](spark, docs, "").count() == 200
     assert seen == {("1024", "8m")}
     assert [spark.conf.get(k) for k in LIMITS] == before
+
+
+def test_language_id_writes_no_text_and_keeps_columns(spark, monkeypatch):
+    docs = documents(spark, 40).unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [(90, None), (91, ""), (92, "1 2 3"), (93, "1 2 3"), (None, f"{WORDS['en']} 1")]], documents(spark, 1).schema))
+    docs = docs.selectExpr("*", "doc_id AS digest", "1 AS lang_pred", "2 AS score")
+    wrote, write = [], corpus_pipeline.materialise
+    monkeypatch.setattr(corpus_pipeline, "materialise", lambda df, name: wrote.append(write(df, name)) or wrote[-1])
+    got = corpus_pipeline.language_id(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([*range(40), None], key=str)
+    assert [(t.columns, t.count()) for t in wrote] == [(["digest"], 2)]
